@@ -13,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows in one Arrow batch: texts are long, and a batch stands in the memory of the JVM and of a Python worker.
+BATCH_ROWS = 1000
+
 _written: list[tuple[object, str]] = []
 
 
@@ -54,12 +57,21 @@ def _remove_written() -> None:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless they are bounded lower already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -68,7 +80,7 @@ def fold(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int = 4_000_000, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int = 2_000_000, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about most_bytes of text; one row may exceed it, never a prefix of it."""
     for batch in batches:
         if not batch.num_rows:
