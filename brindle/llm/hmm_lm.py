@@ -123,7 +123,8 @@ def class_column(word: Column, classes: int) -> Column:
 def build_vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     often = lambda most: F.col("c") * most >= total  # noqa: E731  at most `most` words can be so frequent
-    known = {r["word"]: r["c"] for r in counts.where(often(s.known_words)).collect()}
+    listed = counts.where(often(s.known_words)).select("word", "c").toArrow()
+    known = dict(zip(listed.column("word").to_pylist(), listed.column("c").to_pylist(), strict=True))
     own = sorted(w for w, c in known.items() if c * s.own_symbols >= total)
     symbols = {w: k for k, w in enumerate(own)}
     per_class = counts.where(~often(s.own_symbols)).groupBy(class_column(F.col("word"), s.classes).alias("k")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("d"))

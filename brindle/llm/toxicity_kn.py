@@ -182,7 +182,7 @@ def _document_features(models: Models, texts: list[str], memo: Memo | None = Non
     return features(values, np.array([len(x) for x in words], dtype=np.int64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 6000, ordinary_rows: int = 10000, calibration_share: int = 3) -> Models:
+def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 2000, ordinary_rows: int = 3000, calibration_share: int = 3) -> Models:
     """Learn from labelled rows where `learn` holds: at most about toxic_rows and ordinary_rows of them, chosen by a
     hash of the key at a rate that the class sizes set. One in calibration_share of them fits the logistic function."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
