@@ -137,11 +137,13 @@ class Memo:
         get = self.index.get
         rows = [get(w) for w in words]
         if None in rows:
-            fresh = list(dict.fromkeys(w for w, r in zip(words, rows, strict=True) if r is None))
+            gone = [k for k, r in enumerate(rows) if r is None]
+            fresh = list(dict.fromkeys([words[k] for k in gone]))
             held = len(self.index)
             new = self.compute(fresh)
             self.values = new if self.values is None else np.concatenate([self.values, new])
             self.index.update(zip(fresh, range(held, held + len(fresh)), strict=True))
             get = self.index.get
-            rows = [get(w) for w in words]
+            for k in gone:
+                rows[k] = get(words[k])
         return np.array(rows, dtype=np.int64)

@@ -3,8 +3,8 @@
 1. Documents become term numbers of the benchmark's vocabulary (other words are 0: they can match nothing), and
    document frequencies are counted over blocks of all documents; both are written to the shared folder.
 2. A distributed randomised SVD of the TF-IDF passages of all documents: each partition multiplies its passages
-   with a small matrix and back, the products are summed over partitions, and two rounds with an orthogonal
-   basis between them give the leading right singular vectors. Only terms-by-rank matrices travel.
+   with a small random matrix and back, the products are summed over partitions, and the leading right singular
+   vectors follow from this sketch of the Gram matrix. Only terms-by-rank matrices travel.
 3. Passages and benchmark parts meet in the latent space; pairs above a cosine are candidates.
 4. Each candidate is verified in the words: the longest common subsequence with the whole item around the
    passage, and for paraphrases that the item's answer (its last sentence's telling words) is there.
@@ -27,26 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Memo, slices, stored, texts_of
+from brindle.llm.common import slices, stored, texts_of
 
 _EDGE = re.compile(r"^\W+|\W+$")
+#: The usual marks at a word's edges; the pattern above handles all others.
+_MARKS = ".,;:!?\"'()[]{}<>|/\\@#$%^&*+=~`-"
 _SENTENCE = re.compile(r"[.!?。！？]+(?:\s+|$)")
 
 
 @dataclass
 class Settings:
-    block: int = 8  # words
+    block: int = 12  # words
     blocks: int = 3  # a passage is so many blocks, one block apart
-    part: int = 16  # words of a benchmark part
-    rank: int = 128
-    extra: int = 16  # more columns than the rank while the basis is sought
+    part: int = 24  # words of a benchmark part
+    rank: int = 96
+    extra: int = 16  # more columns than the rank in the sketch
     stop_share: float = 0.02  # terms in more of the blocks than this tell nothing
-    cosine: float = 0.45
-    overlap: float = 0.4  # of a part's words that a passage must share before it is compared in full
+    cosine: float = 0.4
+    overlap: float = 0.3  # of a part's telling words that a passage must hold before it is compared in full
     near: float = 0.8  # of an item's words in common order: the passage itself
     paraphrase: float = 0.5  # with the answer present
     answer: float = 0.75  # of the answer's telling words
-    block_items: int = 4096
+    block_items: int = 512
 
 
 def normal_words(text: str) -> list[str]:
@@ -62,20 +64,23 @@ class Vocabulary:
         self.kind = "<u2" if self.size < 1 << 16 else "<u4"
 
     def numbers(self, words: list[str]) -> np.ndarray:
+        """Of words as they stand in a text: 0 if neither they nor what is left without marks at their edges is known."""
         get = self.words.get
-        return np.array([get(w) or get(_EDGE.sub("", w), 0) for w in words], dtype=np.int64)
+        out = np.array([get(w, -1) for w in words], dtype=np.int64)
+        other = np.flatnonzero(out < 0)
+        if len(other):
+            out[other] = [get(s, 0) if (s := words[k].strip(_MARKS)).isalnum() else get(_EDGE.sub("", s), 0) for k in other.tolist()]
+        return out
 
 
 def _encode(shared, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
-        memo = Memo(v.numbers)
         frequency, blocks = np.zeros(v.size, dtype=np.int64), 0
         names = ["key", "digest", "terms"]
         for batch in slices(batches, "text", 2_000_000):
             words = [t.lower().split() for t in texts_of(batch, "text")]
-            at = memo([w for x in words for w in x])
-            numbers = memo.values[at] if len(at) else np.zeros(0, np.int64)
+            numbers = v.numbers([w for x in words for w in x])
             n = np.array([len(w) for w in words], dtype=np.int64)
             rows, _ = block_rows(n, block)
             pairs = np.unique(rows[numbers > 0] * v.size + numbers[numbers > 0])
@@ -184,15 +189,23 @@ def gram_times(encoded: DataFrame, space: Space, basis: np.ndarray, kind: str) -
 
 
 def singular_vectors(encoded: DataFrame, space: Space, kind: str) -> np.ndarray:
-    """Leading right singular vectors of the passages by randomised subspace iteration."""
+    """Leading right singular vectors of the passages from one pass over them: a random sketch of their Gram matrix
+    and its Nystroem approximation (Tropp, Yurtsever, Udell and Cevher, 2017)."""
     size = len(space.weights)
     width = min(space.s.rank + space.s.extra, size)
-    start = np.random.default_rng(11).standard_normal((size, width))
-    basis, _ = np.linalg.qr(gram_times(encoded, space, start, kind))
-    image = gram_times(encoded, space, basis, kind)
-    middle = basis.T @ image
-    _, turn = np.linalg.eigh((middle + middle.T) / 2)
-    return basis @ turn[:, ::-1][:, : space.s.rank]
+    start, _ = np.linalg.qr(np.random.default_rng(11).standard_normal((size, width)))
+    return leading_vectors(start, gram_times(encoded, space, start, kind), space.s.rank)
+
+
+def leading_vectors(start: np.ndarray, sketch: np.ndarray, rank: int) -> np.ndarray:
+    shift = np.sqrt(len(start)) * np.spacing(max(np.linalg.norm(sketch), 1e-30)) * 4
+    moved = sketch + shift * start
+    middle = start.T @ moved
+    values, turn = np.linalg.eigh((middle + middle.T) / 2)
+    good = values > max(values.max(), 0) * 1e-12
+    root = moved @ (turn[:, good] / np.sqrt(values[good]))
+    vectors, _, _ = np.linalg.svd(root, full_matrices=False)
+    return vectors[:, :rank]
 
 
 @dataclass
@@ -209,7 +222,8 @@ class Queries:
     offset: np.ndarray  # first word of each part in its item
     length: np.ndarray
     latent: np.ndarray  # unit vectors of the parts
-    member: np.ndarray  # item by term: is it one of its words
+    telling: np.ndarray  # part by term: is it one of its telling words
+    many: np.ndarray  # telling words of each part
 
 
 def answer_text(text: str) -> str:
@@ -239,10 +253,11 @@ def make_queries(rows: list[tuple[int, str]], v: Vocabulary, space: Space, vecto
             length.append(len(some))
             x = weighted[some].sum(axis=0)
             latent.append(x / max(np.linalg.norm(x), 1e-9))
-    member = np.zeros((len(items), v.size), dtype=bool)
-    for k, item in enumerate(items):
-        member[k, item.numbers] = True
-    return Queries(items, *(np.array(x, dtype=np.int64) for x in (owner, offset, length)), np.array(latent, dtype=np.float32).reshape(len(latent), vectors.shape[1]), member)
+    telling = np.zeros((len(owner), v.size), dtype=bool)
+    for k, (o, s, m) in enumerate(zip(owner, offset, length, strict=True)):
+        some = items[o].numbers[s : s + m]
+        telling[k, some] = space.weights[some] > 0
+    return Queries(items, *(np.array(x, dtype=np.int64) for x in (owner, offset, length)), np.array(latent, dtype=np.float32).reshape(len(latent), vectors.shape[1]), telling, telling.sum(axis=1))
 
 
 def common_length(left: np.ndarray, right: np.ndarray) -> int:
@@ -296,13 +311,11 @@ def search(numbers: np.ndarray, n: np.ndarray, q: Queries, space: Space, vectors
             continue
         value, block = cos[p, part], some[p]
         shared = np.zeros(len(p), dtype=np.int64)
-        inside = q.member[q.owner[part]] if len(p) < 2000 else None
         for step in range(s.blocks):
             same = (block + step < len(owner)) & (owner[np.minimum(block + step, len(owner) - 1)] == owner[block])
             for c in range(s.block):
-                t = padded[block + step, c]
-                shared += (q.member[q.owner[part], t] if inside is None else inside[np.arange(len(p)), t]) & same & (t > 0)
-        keep = np.flatnonzero(shared >= s.overlap * q.length[part])
+                shared += q.telling[part, padded[block + step, c]] & same
+        keep = np.flatnonzero(shared >= np.maximum(1, s.overlap * q.many[part]))
         for k in keep.tolist():
             doc, item = int(owner[block[k]]), int(q.owner[part[k]])
             best = found.get((doc, item))
