@@ -1 +1 @@
-"""Part of brindle; see README.md."""
+"""Column functions: each takes and returns Columns and stays inside Spark's own expressions."""

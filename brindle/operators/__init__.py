@@ -1 +1 @@
-"""Part of brindle; see README.md."""
+"""DataFrame operators: each takes and returns DataFrames."""
