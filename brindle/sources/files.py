@@ -102,8 +102,9 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType | str |
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of one file or a folder that parse and have the required fields, with their file; and the malformed lines."""
-    full = f"{schema}, _corrupt_record string"
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("_file", F.col("_metadata.file_path"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("_file"), "value")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = lines.select("_file", F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r")).select("_file", "r.*")
     good = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
     for name in required or []:
         good = good.where(F.col(name).isNotNull() & (F.trim(F.col(name).cast("string")) != ""))
