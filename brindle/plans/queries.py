@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as tx
 from brindle.functions import trade
 from brindle.operators import corpus, evaluate, evidence, layout, similarity, validate
+from brindle.plans.shipping import ship_package
 from brindle.sources import generators
 from brindle.streaming import events as streams
 
@@ -29,6 +30,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
