@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Memo, grouped_sum, slices, stored, texts_of
+from brindle.llm.common import grouped_sum, slices, stored, texts_of
 from brindle.llm.simhash_ball import words_of
 
-END = " "  # no word holds a space
+END = b" "  # no word holds a space
 
 
 @dataclass
@@ -38,7 +38,7 @@ class Settings:
     states: int = 16
     own_symbols: int = 16_000
     classes: int = 500
-    known_words: int = 250_000
+    known_words: int = 400_000
     passes: int = 2
     first_rows: int = 1200
     first_passes: int = 15
@@ -46,8 +46,8 @@ class Settings:
     flush: int = 150_000
 
 
-def word_class(word: str, classes: int) -> int:
-    return zlib.crc32(word[-2:].encode("utf-8", "replace")) % classes
+def word_class(word: bytes, classes: int) -> int:
+    return zlib.crc32(word[-2:]) % classes
 
 
 # -- counts -------------------------------------------------------------------------------------------------
@@ -56,7 +56,7 @@ def word_class(word: str, classes: int) -> int:
 def _count(flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), type=pa.string()), pa.array(list(c.values()), type=pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), type=pa.binary()).cast(pa.string()), pa.array(list(c.values()), type=pa.int64())], names=["word", "n"])
 
         counts: Counter = Counter()
         for batch in slices(batches, "text"):
@@ -84,15 +84,13 @@ class Vocabulary:
     settings: Settings
     total: int  # training tokens
     distinct: int
-    known: dict[str, int]  # count of each word that is frequent enough
-    symbols: dict[str, int]  # the words that are symbols of their own
+    known: dict[bytes, int]  # the row of each word that is frequent enough
+    counts: np.ndarray  # of these words
+    own: np.ndarray  # their symbol; -1 if they are none
+    n_own: int
     class_total: np.ndarray  # of the words that are not: tokens and distinct words in each class
     class_distinct: np.ndarray
 
-    @property
-    def size(self) -> int:
-        return len(self.symbols) + self.settings.classes
-
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
@@ -100,72 +98,61 @@ class Vocabulary:
         """log10 of a word's share of its class; one unseen word has a share too."""
         return np.log10((c + 0.5) / (self.class_total[k] + 0.5 * (self.class_distinct[k] + 1)))
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Columns for each word: symbol; count, -1 if only the join knows; base score; share score (both 0 if unknown)."""
-        out = np.zeros((len(words), 4))
-        first = len(self.symbols)
-        n = self.settings.classes
-        for k, w in enumerate(words):
-            s = self.symbols.get(w)
-            out[k, 0] = first + word_class(w, n) if s is None else s
-            out[k, 1] = self.known.get(w, -1)
-        seen = out[:, 1] >= 0
-        out[seen, 2] = self.base(out[seen, 1])
-        part = seen & (out[:, 0] >= first)
-        out[part, 3] = self.share(out[part, 1], (out[part, 0] - first).astype(np.int64))
-        return out
+    def table(self) -> np.ndarray:
+        """Columns for each known word: symbol, base score, share score (0 for a symbol of its own)."""
+        classes = np.fromiter((word_class(w, self.settings.classes) for w in self.known), dtype=np.int64, count=len(self.known))
+        own = self.own >= 0
+        return np.stack([np.where(own, self.own, self.n_own + classes), self.base(self.counts), np.where(own, 0.0, self.share(self.counts, classes))], axis=1)
 
 
 def class_column(word: Column, classes: int) -> Column:
-    return F.pmod(F.crc32(F.substring(word, -2, 2).cast("binary")), F.lit(classes)).cast("int")
+    return F.pmod(F.crc32(F.substring(word.cast("binary"), -2, 2)), F.lit(classes)).cast("int")
 
 
 def build_vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     often = lambda most: F.col("c") * most >= total  # noqa: E731  at most `most` words can be so frequent
-    listed = counts.where(often(s.known_words)).select("word", "c").toArrow()
-    known = dict(zip(listed.column("word").to_pylist(), listed.column("c").to_pylist(), strict=True))
-    own = sorted(w for w, c in known.items() if c * s.own_symbols >= total)
-    symbols = {w: k for k, w in enumerate(own)}
+    listed = counts.where(often(s.known_words)).select(F.col("word").cast("binary").alias("word"), "c").orderBy(F.desc("c"), "word").toArrow()
+    words, c = listed.column("word").to_pylist(), listed.column("c").to_numpy().astype(float)
+    n_own = int((c * s.own_symbols >= total).sum())  # the first, as the most frequent come first
+    own = np.where(np.arange(len(c)) < n_own, np.arange(len(c)), -1)
     per_class = counts.where(~often(s.own_symbols)).groupBy(class_column(F.col("word"), s.classes).alias("k")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("d"))
     class_total, class_distinct = np.zeros(s.classes), np.zeros(s.classes)
     for r in per_class.collect():
         class_total[r["k"]], class_distinct[r["k"]] = r["t"], r["d"]
-    return Vocabulary(s, total, distinct, known, symbols, class_total, class_distinct)
+    return Vocabulary(s, total, distinct, {w: k for k, w in enumerate(words)}, c, own, n_own, class_total, class_distinct)
 
 
 # -- encoding -----------------------------------------------------------------------------------------------
 
-ENCODED = "row long, key long, learn boolean, symbols binary, n_tokens long, n_known long, base double, share double, words array<string>, times array<int>"
+ENCODED = "row long, key long, learn boolean, symbols binary, n_tokens long, n_known long, base double, share double, words array<string>"
 
 
 def _encode(shared):
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("learn", pa.bool_()), ("symbols", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("share", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
+    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("learn", pa.bool_()), ("symbols", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("share", pa.float64()), ("words", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         v: Vocabulary = shared.value
-        memo = Memo(v.rows, 150_000)
+        table, get, classes = v.table(), v.known.get, v.settings.classes
         row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text"):
             words = [[*words_of(t), END] for t in texts_of(batch, "text")]
             n = np.array([len(w) for w in words], dtype=np.int64)
             flat = [w for x in words for w in x]
-            at = memo(flat)
-            got = memo.values[at]
+            at = np.array([get(w, -1) for w in flat], dtype=np.int64)
+            seen = at >= 0
+            got = table[at] * seen[:, None] if len(table) else np.zeros((len(at), 3))
+            rare = np.flatnonzero(~seen)  # counted by the join
+            rare_words = [flat[k] for k in rare.tolist()]
+            got[rare, 0] = v.n_own + np.fromiter((word_class(w, classes) for w in rare_words), dtype=np.int64, count=len(rare))
             ends = np.cumsum(n)
             symbols = got[:, 0].astype("<u2")
-            known = grouped_sum((got[:, 1] > 0).astype(float), n)
-            base, share = grouped_sum(got[:, 2], n), grouped_sum(got[:, 3], n)
-            rare = np.flatnonzero(got[:, 1] < 0)
-            cuts = np.searchsorted(rare, np.concatenate([[0], ends]))
-            lists, times = [], []
-            for k in range(len(n)):
-                c = Counter([flat[i] for i in rare[cuts[k] : cuts[k + 1]].tolist()])
-                lists.append(list(c))
-                times.append(list(c.values()))
-            columns = [np.arange(row, row + len(n)), batch.column("key"), batch.column("learn"), [symbols[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)], n, known.round().astype(np.int64), base, share, lists, times]
+            sums = grouped_sum(np.concatenate([got[:, 1:], seen[:, None]], axis=1), n)
+            cuts = np.searchsorted(rare, np.concatenate([[0], ends])).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(cuts), pa.array(rare_words, type=pa.binary()).cast(pa.string()))
+            columns = [np.arange(row, row + len(n)), batch.column("key"), batch.column("learn"), [symbols[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)], n, sums[:, 2].round().astype(np.int64), sums[:, 0], sums[:, 1], listed]
             row += len(n)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -354,12 +341,12 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
     v = build_vocabulary(counts, s)
     shared = spark.sparkContext.broadcast(v)
     encoded = stored(rows.mapInArrow(_encode(shared), ENCODED), "symbols")
-    frequency = np.concatenate([[v.known[w] for w in v.symbols], v.class_total]) + 0.5
+    frequency = np.concatenate([v.counts[: v.n_own], v.class_total]) + 0.5
     frequency = frequency / frequency.sum()
     model = Model.guess(s.states, frequency)
     if v.total:
         # about first_rows texts, chosen by a hash; they only set out the states, all texts then train them
-        texts_n = v.known.get(END, 0) or 1
+        texts_n = float(v.counts[v.known[END]]) if END in v.known else 1.0
         dice = F.pmod(F.xxhash64(F.lit("states"), "row"), F.lit(1_000_000)) / 1_000_000
         first = [np.frombuffer(r["symbols"], "<u2").astype(np.int64) for r in encoded.where("learn").where(dice < s.first_rows / texts_n).select("symbols").collect()]
         for _ in range(s.first_passes if first else 0):
@@ -373,14 +360,14 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
     shared_model = spark.sparkContext.broadcast(model)
     chosen = encoded.select("row", "key", "learn", "symbols", "n_tokens", "n_known", "base", "share")
     scored = chosen.mapInArrow(_forward(shared_model), SCORED)
-    rare = encoded.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    rare = encoded.select("row", F.explode("words").alias("word"))
     width = F.lit(float(v.total + 0.5 * (v.distinct + 1)))
     classes = F.array(*[F.lit(float(a + 0.5 * (b + 1))) for a, b in zip(v.class_total, v.class_distinct, strict=True)])
     joined = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     tail = joined.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / width)).alias("tail_base"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.element_at(classes, class_column(F.col("word"), s.classes) + 1))).alias("tail_share"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"),
+        F.sum(F.log10((F.col("c") + 0.5) / width)).alias("tail_base"),
+        F.sum(F.log10((F.col("c") + 0.5) / F.element_at(classes, class_column(F.col("word"), s.classes) + 1))).alias("tail_share"),
+        F.count_if(F.col("c") > 0).alias("tail_known"),
     )
     whole = scored.join(tail, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))

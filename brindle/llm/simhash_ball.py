@@ -15,9 +15,8 @@ keys of the component are null; repeated rows are returned each; an empty table
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +26,21 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from brindle.llm.common import slices, stored, texts_of
 
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _SEED, _BLOCK = 42, 100_000
 
 
-def words_of(text: str) -> list[str]:
-    """ASCII lower case, cut at space, tab and line ends only."""
-    return [w for w in text.translate(_SPACES).translate(_UPPER).split(" ") if w] if not text.isascii() else text.lower().translate(_SPACES).split()
+def words_of(text: str) -> list[bytes]:
+    """UTF-8 words: A-Z in lower case, cut at space, tab and line ends only. Bytes do both as asked; str would do more."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _shingles(words: list[str], size: int) -> list[str]:
+def _shingles(words: list[bytes], size: int) -> list[bytes]:
+    """Runs of `size` words with single spaces; all words if there are fewer."""
+    whole = b" ".join(words)
     if len(words) <= size:
-        return [" ".join(words)] if words else []
-    if size == 3:
-        return [f"{a} {b} {c}" for a, b, c in zip(words, words[1:], words[2:], strict=False)]
-    return [" ".join(words[k : k + size]) for k in range(len(words) - size + 1)]
+        return [whole] if words else []
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return [whole[a:b] for a, b in zip([0, *ends[: len(words) - size]], (e - 1 for e in ends[size - 1 :]), strict=True)]
 
 
 def fingerprints(texts: list[str], size: int = 3) -> np.ndarray:
@@ -59,8 +56,7 @@ def fingerprints(texts: list[str], size: int = 3) -> np.ndarray:
         counts = np.zeros(64, dtype=np.int64)
         for at in range(0, len(shingles), _BLOCK):
             some = shingles[at : at + _BLOCK]
-            h = np.fromiter((xxh64_intdigest(s, _SEED) for s in some), dtype=np.uint64, count=len(some))
-            counts += bit_counts(h)
+            counts += bit_counts(np.array([xxh64_intdigest(s, _SEED) for s in some], dtype=np.uint64))
         out[k] = (powers[2 * counts > len(shingles)]).sum(dtype=np.uint64)
     return out
 
