@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import slices, stored, texts_of
+from brindle.llm.common import slices, stored
 from brindle.llm.tokens import encoder
 
 PIECES = "part int, key long, piece int, start long, length int, ids_crc32 long, own long"
@@ -37,7 +37,7 @@ def _cut(vocabulary: str, end_id: int, capacity: int):
         coder = encoder(vocabulary, True)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in slices(batches, "text"):
-            ids, counts = coder.encode(texts_of(batch, "text"))
+            ids, counts = coder.encode(batch.column("text"))
             whole = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             counts = counts + 1
             pieces = -(-counts // capacity)

@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import shared_path, slices, stored, texts_of
+from brindle.llm.common import shared_path, slices, stored
 from brindle.llm.tokens import encoder
 
 #: Of the file format.
@@ -164,7 +164,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int):
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(name)
                 out.write(MAGIC)
-            ids, counts = coder.encode(texts_of(batch, "text"))
+            ids, counts = coder.encode(batch.column("text"))
             ends = np.cumsum(counts)
             whole = np.insert(ids, ends, end_id)
             out.write(whole.astype(f"<u{width}").tobytes())
