@@ -359,6 +359,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
         some = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
         texts = [(r["i"], r["t"]) for r in some.orderBy("i", "t").collect()]  # about block_items rows
         v = Vocabulary([t for _, t in texts])
+        if v.size == 1:  # no word to find
+            continue
         encoded = stored(rows.mapInArrow(_encode(spark.sparkContext.broadcast(v), s.block), "key long, digest long, terms binary"), "terms")
         # a row without a digest holds a task's counts (xxhash64 is never null)
         counts = encoded.where("digest IS NULL").select(F.lit(0).alias("piece"), F.spark_partition_id().alias("part"), F.col("terms").alias("data"))
@@ -375,7 +377,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
         shared = spark.sparkContext.broadcast((q, space, latent))
         got = encoded.mapInArrow(_search(shared, v.kind), LEAK)
         out = got if out is None else out.union(got)
-    return out
+    return spark.createDataFrame([], LEAK) if out is None else out
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
