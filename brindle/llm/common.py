@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.plans.shipping import ship_package
+
 #: Rows in one Arrow batch: texts are long, and a batch stands in the memory of the JVM and of a Python worker.
 BATCH_ROWS = 1000
 
@@ -64,7 +67,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless they are bounded lower already."""
+    """Bound the Arrow batches of this session, unless they are bounded lower already; the workers get the package."""
+    ship_package(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
@@ -115,35 +119,61 @@ def grouped_sum(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
+#: The usual marks and digits at a word's edges; bare_word's pattern handles all others.
+_EDGES = ".,;:!?\"'()[]{}<>|/\\@#$%^&*+=~`_-0123456789"
+_NO_LETTER = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+
+
+def bare_word(word: str) -> str:
+    """A word without what isn't a letter at its edges; empty if it has none."""
+    if word.isalpha():
+        return word
+    core = word.strip(_EDGES)
+    return core if core.isalpha() or not core else _NO_LETTER.sub("", core)
+
+
 class Memo:
-    """A bounded map from strings to rows of numpy arrays.
+    """A bounded map from words to rows of a numpy array.
 
-    compute(list of new strings) returns one value per string; when more than `cap` strings are held,
-    all are forgotten, so memory is bounded whatever the vocabulary of the corpus is.
+    compute(list of new words) returns one row per word. A word that isn't held is looked up by what `stem` makes of
+    it, and held so. When more than `cap` words are held, those used only once since the last time go first: memory
+    is bounded whatever the vocabulary of the corpus is.
     """
 
-    def __init__(self, compute, cap: int = 200_000):
-        self.compute, self.cap = compute, cap
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self, compute, cap: int = 200_000, stem=bare_word):
+        self.compute, self.cap, self.stem = compute, cap, stem
         self.index: dict[str, int] = {}
-        self.values = None
+        self.values, self.uses = None, np.zeros(0, dtype=np.int64)
+
+    def _shrink(self) -> None:
+        for least in (2, 8, 64):
+            rows = np.flatnonzero(self.uses >= least)
+            if len(rows) <= self.cap // 2:
+                break
+        else:
+            rows = rows[:0]
+        kept = np.zeros(len(self.uses), dtype=bool)
+        kept[rows] = True
+        self.index = {w: k for k, w in enumerate(w for w, keep in zip(self.index, kept.tolist(), strict=True) if keep)}
+        self.values, self.uses = self.values[rows], np.zeros(len(rows), dtype=np.int64)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        """The row number of each word in self.values."""
+        """The row of self.values for each word."""
         if len(self.index) > self.cap:
-            self.clear()
+            self._shrink()
         get = self.index.get
-        rows = [get(w) for w in words]
-        if None in rows:
-            gone = [k for k, r in enumerate(rows) if r is None]
-            fresh = list(dict.fromkeys([words[k] for k in gone]))
-            held = len(self.index)
-            new = self.compute(fresh)
-            self.values = new if self.values is None else np.concatenate([self.values, new])
-            self.index.update(zip(fresh, range(held, held + len(fresh)), strict=True))
-            get = self.index.get
-            for k in gone:
-                rows[k] = get(words[k])
-        return np.array(rows, dtype=np.int64)
+        at = np.array([get(w, -1) for w in words], dtype=np.int64)
+        gone = np.flatnonzero(at < 0)
+        if len(gone):
+            stems = [self.stem(words[k]) for k in gone.tolist()]
+            fresh = [w for w in dict.fromkeys(stems) if w not in self.index]
+            if fresh:
+                held = len(self.index)
+                new = self.compute(fresh)
+                self.values = new if self.values is None else np.concatenate([self.values, new])
+                self.uses = np.concatenate([self.uses, np.zeros(len(fresh), dtype=np.int64)])
+                self.index.update(zip(fresh, range(held, held + len(fresh)), strict=True))
+                get = self.index.get
+            at[gone] = [get(w) for w in stems]
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        return at

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Memo, grouped_sum, slices, stored, texts_of
+from brindle.llm.common import Memo, bare_word, grouped_sum, slices, stored, texts_of
 
 LONGEST, SPACE, SCALE, FLOOR = 48, "▁", 2.0**12, 1e-9
 
@@ -41,35 +41,46 @@ def read_pieces(path: str) -> dict[str, int]:
 
 
 def text_words(text: str) -> list[str]:
+    """Lower-cased runs between white space; only what bare_word leaves of them is scored."""
     return text.lower().split()
 
 
+def prefixes(pieces: dict[str, int]) -> dict[str, int]:
+    """The pieces' numbers, and 0 for every other beginning of a piece: where a text leaves this, no piece goes on."""
+    out = {p[:k]: 0 for p in pieces for k in range(1, len(p))}
+    return out | pieces
+
+
 def parts(word: str) -> list[str]:
     return [word] if len(word) <= LONGEST else [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All edges (word, from, to, piece) of the segmentation lattices; positions count characters after the word mark."""
-    get, longest = pieces.get, max(map(len, pieces), default=1)
+def lattice(words: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All edges (word, from, to, piece) of the segmentation lattices; positions count characters after the word mark.
+    known: what `prefixes` gives."""
+    get = known.get
     word, begin, end, piece = [], [], [], []
     for w, text in enumerate(words):
         text = SPACE + text
         n = len(text)
         for i in range(n):
-            found = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                k = get(text[i:j])
-                if k is not None:
-                    word.append(w)
-                    begin.append(i)
-                    end.append(j)
-                    piece.append(k)
-                    found = found or j == i + 1
-            if not found:
+            k = get(text[i])
+            if not k:
                 word.append(w)
                 begin.append(i)
                 end.append(i + 1)
                 piece.append(-len(text[i].encode("utf-8", "replace")))  # that many byte pieces
+            j = i + 1
+            while k is not None:
+                if k:
+                    word.append(w)
+                    begin.append(i)
+                    end.append(j)
+                    piece.append(k)
+                j += 1
+                if j > n:
+                    break
+                k = get(text[i:j])
     return tuple(np.array(x, dtype=np.int64) for x in (word, begin, end, piece))
 
 
@@ -126,7 +137,7 @@ class Languages:
     probability: np.ndarray
 
     def scorer(self):
-        pieces = read_pieces(self.pieces_path)
+        known = prefixes(read_pieces(self.pieces_path))
 
         def compute(words: list[str]) -> np.ndarray:
             split = [parts(w) for w in words]
@@ -134,11 +145,13 @@ class Languages:
             out = np.zeros((len(flat), len(self.names)))
             for at in range(0, len(flat), 20_000):
                 some = flat[at : at + 20_000]
-                edges, lengths = lattice(some, pieces), np.array([len(x) + 1 for x in some], dtype=np.int64)
+                edges, lengths = lattice(some, known), np.array([len(x) + 1 for x in some], dtype=np.int64)
                 for k, p in enumerate(self.probability):
                     out[at : at + len(some), k] = log_probability(edges, lengths, p)
             n = np.array([len(s) for s in split], dtype=np.int64)
-            return np.add.reduceat(out, np.cumsum(n) - n, axis=0) if len(out) else out
+            sums = np.add.reduceat(out, np.cumsum(n) - n, axis=0) if len(out) else out
+            real = np.array([bool(w) for w in words], dtype=float)[:, None]
+            return np.concatenate([sums * real, real], axis=1)  # what has no letter counts for nothing
 
         return compute
 
@@ -146,7 +159,7 @@ class Languages:
 def fit_counts(counts: dict[str, Counter], pieces_path: str, *, rounds: int = 4) -> Languages:
     """Expectation-maximisation of the piece probabilities of each language from its word counts."""
     pieces = read_pieces(pieces_path)
-    size = max(pieces.values()) + 1
+    known, size = prefixes(pieces), max(pieces.values()) + 1
     names = sorted(counts)
     table = np.zeros((len(names), size))
     for k, name in enumerate(names):
@@ -156,7 +169,7 @@ def fit_counts(counts: dict[str, Counter], pieces_path: str, *, rounds: int = 4)
                 words[x] += n
         listed = sorted(words)
         n, lengths = np.array([words[w] for w in listed], dtype=float), np.array([len(w) + 1 for w in listed], dtype=np.int64)
-        edges = lattice(listed, pieces)
+        edges = lattice(listed, known)
         p = np.full(size, 1 / size)
         for _ in range(rounds):
             uses = expect(edges, lengths, n, p, size) + 0.01
@@ -175,7 +188,7 @@ def fit(docs: DataFrame, pieces_path: str, *, learn: Column, key: str = "doc_id"
     dice = F.pmod(F.xxhash64(F.lit("language"), "k"), F.lit(1_000_000)) / 1_000_000
     counts = {k: Counter() for k in sorted(size)}
     for r in stored(rows.where(dice < rate[F.col("l")]).select("l", "t"), "sample").collect():
-        counts[r["l"]].update(text_words(r["t"] or ""))
+        counts[r["l"]].update(w for w in map(bare_word, text_words(r["t"] or "")) if w)
     return fit_counts({k: c for k, c in counts.items() if c}, pieces_path)
 
 
@@ -191,7 +204,8 @@ def _judge(model: Languages, memo: Memo, texts: list[str]) -> tuple[list[str], l
     if not model.names or not flat:
         return ["und"] * len(texts), [0.0] * len(texts)
     rows = memo(flat)
-    sums = grouped_sum(memo.values[rows], n)
+    both = grouped_sum(memo.values[rows], n)
+    sums, n = both[:, :-1], both[:, -1].round().astype(np.int64)
     best = sums.argmax(axis=1)
     # softmax of the mean log-probability of a word, sharpened by the number of words up to 8
     z = (sums - sums.max(axis=1, keepdims=True)) / np.maximum(n, 1)[:, None] * np.minimum(n, 8)[:, None]

@@ -16,7 +16,6 @@ label of one class the score is the share of the other class; an empty table giv
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,21 +25,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Memo, fold, slices, stored, texts_of
+from brindle.llm.common import Memo, bare_word, fold, slices, stored, texts_of
 
 ORDER, DISCOUNT, BOUNDARY = 6, 0.75, 1
-_STRIP = re.compile(r"^\W+|\W+$")
 FEATURES = 6
 
 
 def expressions(text: str) -> list[str]:
-    """Lower-cased runs between white space; most need no stripping of marks, which the models see as they are."""
+    """Lower-cased runs between white space; the models see what bare_word leaves of them."""
     return text.lower().split()
 
 
 def codes(words: list[str], alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Characters as small numbers, each word between boundaries: ORDER-1 before it, one after it; and the lengths with the latter."""
-    bare = [_STRIP.sub("", w) for w in words]
+    bare = [bare_word(w) for w in words]
     lengths = np.fromiter(map(len, bare), dtype=np.int64, count=len(bare)) + 1
     raw = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     table = np.full(0x110000 if len(raw) and raw.max() > 0xFFFF else 0x10000, 2, dtype=np.uint8)
@@ -158,7 +156,7 @@ def features(ratios: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """Newton's method for the weighted logistic loss with a ridge penalty (not on the constant)."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
@@ -173,18 +171,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def _document_features(models: Models, texts: list[str], memo: Memo | None = None) -> np.ndarray:
-    memo = memo or Memo(models.log_ratio)
-    words = [expressions(t) for t in texts]
+def _document_features(models: Models, words: list[list[str]], memo: Memo) -> np.ndarray:
     flat = [w for x in words for w in x]
     rows = memo(flat)
     values = memo.values[rows] if len(flat) else np.zeros((0, 2))
     return features(values, np.array([len(x) for x in words], dtype=np.int64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 2000, ordinary_rows: int = 3000, calibration_share: int = 3) -> Models:
+def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 2000, ordinary_rows: int = 3000, folds: int = 3) -> Models:
     """Learn from labelled rows where `learn` holds: at most about toxic_rows and ordinary_rows of them, chosen by a
-    hash of the key at a rate that the class sizes set. One in calibration_share of them fits the logistic function."""
+    hash of the key at a rate that the class sizes set. The logistic function is fitted on each fold's rows as the
+    models of the other folds see them; the models returned know all folds."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     marks = marks.where(learn)
     size = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -197,20 +194,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id
     chosen = marks.where(F.when(F.col("y") == 1, dice < toxic_rows / n1).otherwise(dice < ordinary_rows / n0))
     chosen = stored(chosen, "labels")
     picked = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")  # a sample of bounded size
-    rows = [(r["k"], r["t"] or "", r["y"]) for r in picked.collect()]
-    held = [hash_of(k) % calibration_share == 0 for k, _, _ in rows]
-    counts = [Counter(), Counter()]
-    for (_, t, y), out in zip(rows, held, strict=True):
-        if not out:
-            counts[y].update(_STRIP.sub("", w) for w in expressions(t))
-    models = fit_models(*counts)
-    some = [r for r, out in zip(rows, held, strict=True) if out]
-    y = np.array([r[2] for r in some], dtype=float)
-    x = _document_features(models, [r[1] for r in some])
-    drawn = np.array([(y == 0).sum(), y.sum()])
-    true = np.array([n0, n1], dtype=float)
+    rows = [(hash_of(r["k"]) % folds, r["y"], expressions(r["t"] or "")) for r in picked.collect()]
+    words = [[Counter(), Counter()] for _ in range(folds)]
+    for f, y, w in rows:
+        words[f][y].update(map(bare_word, w))
+    both = [sum((w[y] for w in words), Counter()) for y in (0, 1)]
+    x, y = [], []
+    for f in range(folds):
+        # features of rows that the models did not see
+        models = fit_models(*[both[c] - words[f][c] for c in (0, 1)])
+        some = [r for r in rows if r[0] == f]
+        if some:
+            x.append(_document_features(models, [r[2] for r in some], Memo(models.log_ratio)))
+            y += [r[1] for r in some]
+    if not y:
+        return Models({}, [], [], np.array([np.log(n1 / n0)] + [0.0] * (FEATURES - 1)))
+    y = np.array(y, dtype=float)
+    drawn, true = np.array([(y == 0).sum(), y.sum()]), np.array([n0, n1], dtype=float)
     weight = np.where(y == 1, true[1] / max(drawn[1], 1), true[0] / max(drawn[0], 1)) * len(y) / true.sum()
-    models.weights = fit_logistic(x, y, weight) if drawn.min() else np.array([np.log(n1 / n0)] + [0.0] * (FEATURES - 1))
+    models = fit_models(*both)
+    models.weights = fit_logistic(np.concatenate(x), y, weight) if drawn.min() else np.array([np.log(n1 / n0)] + [0.0] * (FEATURES - 1))
     return models
 
 
@@ -226,7 +229,7 @@ def _score(shared):
         models = shared.value
         memo = Memo(models.log_ratio)
         for batch in slices(batches, "t"):
-            x = _document_features(models, texts_of(batch, "t"), memo) if models.top else np.tile([1.0] + [0.0] * (FEATURES - 1), (batch.num_rows, 1))
+            x = _document_features(models, [expressions(t) for t in texts_of(batch, "t")], memo) if models.top else np.tile([1.0] + [0.0] * (FEATURES - 1), (batch.num_rows, 1))
             s = 1 / (1 + np.exp(-np.clip(x @ models.weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(s)], names=["k", "score"])
 
@@ -249,7 +252,7 @@ def _below(shared, threshold: float):
         models, text = shared.value
         memo = Memo(models.log_ratio)
         for batch in slices(batches, text):
-            x = _document_features(models, texts_of(batch, text), memo) if models.top else np.tile([1.0] + [0.0] * (FEATURES - 1), (batch.num_rows, 1))
+            x = _document_features(models, [expressions(t) for t in texts_of(batch, text)], memo) if models.top else np.tile([1.0] + [0.0] * (FEATURES - 1), (batch.num_rows, 1))
             keep = 1 / (1 + np.exp(-np.clip(x @ models.weights, -30, 30))) < threshold
             yield batch.filter(pa.array(keep))
 
