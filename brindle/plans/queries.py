@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as tx
 from brindle.functions import trade
 from brindle.operators import corpus, evaluate, evidence, layout, similarity, validate
+from brindle.plans import documents
 from brindle.plans.shipping import ship_package
 from brindle.sources import generators
 from brindle.streaming import events as streams
@@ -461,6 +462,16 @@ def layout_lines(spark, sf_dir):
     return layout.page_texts(lines, ["doc", "page"])
 
 
+@query()
+def document_pipeline(spark, sf_dir):
+    """Instructions written from orders, read back by the pattern extractor, normalised and graded."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat_ws("\n", F.concat(F.lit("BOOKING NO: BK"), key), F.concat(F.lit("SHIPPER: "), F.col("c_name")), F.when(F.col("o_orderkey") % 3 != 0, F.lit("CONSIGNEE: ACME LTD.")), F.concat(F.lit("DATE: "), F.date_format("o_orderdate", "dd.MM.yyyy")), F.lit("PORT OF LOADING: TRIZM IZMIR"), F.concat(generators.reference(key, F.lit("1"), 7), F.lit(" 40HC GROSS: 18,750.00 KG")), F.lit("FREIGHT COLLECT"))
+    done = documents.process(orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    return done.select("doc_id", "risk", "grade", F.size("findings").alias("n_findings"), "n_missing", F.to_json("instruction").alias("instruction"))
+
+
 @query()
 def synthetic_instructions(spark, sf_dir):
     """A fixed number of generated rows of each kind."""
