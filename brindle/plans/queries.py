@@ -487,3 +487,106 @@ def erp_flatten(spark, sf_dir):
     nested = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.array(F.struct(F.lit("CZ").alias("role"), F.col("c_name").alias("name"))).alias("parties"), "o_orderpriority", "items")
     shipper = F.get(F.filter("parties", lambda p: p["role"].isin("CZ", "SHI")), F.lit(0))["name"]
     return nested.select(F.col("o_orderkey").alias("id"), shipper.alias("shipper"), F.col("o_orderpriority").alias("term"), F.size("items").cast("long").alias("n_items"), F.aggregate("items", F.lit(0.0), lambda a, x: a + x["quantity"]).alias("quantity"))
+
+
+# -- more joins, decisions and layouts ----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH v AS (SELECT conv_id, string_split({norm('text')}, ' ')[2] AS value FROM conversations WHERE turn = 0), t AS (SELECT conv_id, text FROM conversations WHERE turn = 1)
+    SELECT v.conv_id, value, CASE WHEN {_FOLD.format('value').replace("translate(", "", 1).rsplit(", '0158'", 1)[0]} <> '' AND contains({_FOLD.format('text').replace("translate(", "", 1).rsplit(", '0158'", 1)[0]}, {_FOLD.format('value').replace("translate(", "", 1).rsplit(", '0158'", 1)[0]}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM v JOIN t USING (conv_id)"""
+)
+def evidence_strong(spark, sf_dir):
+    """does the answer hold the question's second word as an identifier?"""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("turn = 0").select("conv_id", F.get(F.split(tx.normalize_text(F.col("text")), " "), F.lit(1)).alias("value"))
+    both = asked.join(turns.where("turn = 1").select("conv_id", "text"), "conv_id")
+    return both.select("conv_id", "value", evidence.strong_evidence(F.col("value"), F.col("text")).alias("score"))
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 10 AS page, l_linenumber * 100.0::DOUBLE AS cx, l_quantity * 20 AS cy FROM lineitem), r AS (SELECT s_suppkey AS rank, s_name AS name, s_suppkey % 10 AS page, (s_suppkey * 37 % 500)::DOUBLE AS a, (s_suppkey * 91 % 700)::DOUBLE AS b, (s_suppkey * 37 % 500 + 250)::DOUBLE AS c, (s_suppkey * 91 % 700 + 300)::DOUBLE AS d FROM supplier)
+    SELECT l_orderkey, l_linenumber, l_partkey, (SELECT arg_min(name, rank) FROM r WHERE r.page = b.page AND cx BETWEEN r.a AND r.c AND cy BETWEEN r.b AND r.d) AS region FROM b"""
+)
+def region_join(spark, sf_dir):
+    """Boxes to the first rectangle of their page that holds their centre."""
+    x, y, s = (F.col("l_linenumber") * 100).cast("double"), F.col("l_quantity") * 20, F.col("s_suppkey")
+    boxes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") % 10).alias("page"), (x - 5).alias("x_min"), (x + 5).alias("x_max"), (y - 5).alias("y_min"), (y + 5).alias("y_max"))
+    left, top = (s * 37 % 500).cast("double"), (s * 91 % 700).cast("double")
+    regions = table(spark, sf_dir, "supplier").select((s % 10).alias("page"), s.alias("rank"), F.col("s_name").alias("name"), left.alias("x_min"), top.alias("y_min"), (left + 250).alias("x_max"), (top + 300).alias("y_max"))
+    return layout.boxes_in_regions(boxes, regions, ["page"]).select("l_orderkey", "l_linenumber", "l_partkey", "region")
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS doc, l_linenumber * 100.0::DOUBLE AS x_min, 'P' || l_partkey AS text FROM lineitem), c AS (SELECT *, x_min + 8.0::DOUBLE * length(text) AS x_max FROM b),
+    g AS (SELECT *, x_min - lag(x_max) OVER w AS gap, lag(greatest(1.0::DOUBLE, (x_max - x_min) / greatest(length(text), 1))) OVER w AS width FROM c WINDOW w AS (PARTITION BY doc ORDER BY x_min, x_max, text)),
+    p AS (SELECT *, CASE WHEN gap IS NULL THEN '' ELSE repeat(' ', greatest(1, CAST(floor(gap / width * 0.15) AS INT))) END || text AS piece FROM g) SELECT doc, string_agg(piece, '' ORDER BY x_min, x_max, text) AS text FROM p GROUP BY doc"""
+)
+def line_texts(spark, sf_dir):
+    """Each order's boxes as one line, gaps as spaces."""
+    text = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    x = (F.col("l_linenumber") * 100).cast("double")
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), text.alias("text"), x.alias("x_min"), (x + 8.0 * F.length(text)).alias("x_max"))
+    return layout.line_texts(boxes, ["doc"])
+
+
+@query(f"WITH m AS (SELECT sha256({norm('text')}) AS f, doc_id % 10 = 0 AS v FROM documents) SELECT count(*) AS shared FROM (SELECT f FROM m WHERE v INTERSECT SELECT f FROM m WHERE NOT v)")
+def overlap_counts(spark, sf_dir):
+    """Fingerprints that a validation and a training part share."""
+    marked = table(spark, sf_dir, "documents").select(tx.fingerprint(F.col("text")).alias("f"), (F.col("doc_id") % 10 == 0).alias("v"))
+    return corpus.shared_values(marked.where("v"), marked.where("NOT v"), "f").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')")
+def undelivered_orders(spark, sf_dir):
+    """Orders without a successful delivery in the log."""
+    from brindle.sources.files import undelivered
+
+    log = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_linestatus") == "F", F.lit("success")).otherwise(F.lit("error")).alias("status"))
+    return undelivered(table(spark, sf_dir, "orders"), log, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN n_chars = 0 THEN 'error' WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'duplicate' WHEN lang <> 'en' OR english < 0.72 THEN 'rejected' WHEN score >= 60 THEN 'accepted' ELSE 'pending_review' END AS status
+    FROM (SELECT doc_id, n_chars, lang, CASE WHEN n_chars % 3 = 0 THEN 0.5 ELSE 0.9 END AS english, n_chars % 100 AS score FROM documents)"""
+)
+def acceptance(spark, sf_dir):
+    """the precedence of the decisions."""
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("known"))
+    n = F.col("n_chars")
+    status = validate.acceptance(F.coalesce("known", F.lit(False)), n == 0, F.col("lang") == "en", F.when(n % 3 == 0, 0.5).otherwise(0.9), n % 100)
+    return docs.join(known.distinct(), "doc_id", "left").select("doc_id", status.alias("status"))
+
+
+@query("SELECT a.l_orderkey, CASE WHEN a.h IS NOT DISTINCT FROM b.h THEN '' ELSE 'quantity' END AS changed FROM (SELECT l_orderkey, sum(l_quantity) AS h FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, sum(l_quantity) + max(l_orderkey % 2) AS h FROM lineitem GROUP BY 1) b USING (l_orderkey)")
+def repeat_runs(spark, sf_dir):
+    """Which values of two runs differ, by case."""
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"))
+    second = sums.withColumn("quantity", F.col("quantity") + F.col("l_orderkey") % 2)
+    return evaluate.changed_between_runs(sums, second, ["quantity"], case="l_orderkey").select("l_orderkey", F.array_join("changed", ",").alias("changed"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: len(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda j: abs(j - i) <= 1 AND contains(lower(string_split(text, chr(10))[j]), 'license'))) > 0), chr(10)) AS excerpt FROM documents WHERE contains(lower(text), 'license')")
+def context_excerpts(spark, sf_dir):
+    """Lines about licenses with a line of context on both sides."""
+    docs = table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("license")))
+    return docs.select("doc_id", layout.context_excerpt(F.col("text"), ["license"], 1).alias("excerpt"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment, true AS same FROM customer")
+def xml_roundtrip(spark, sf_dir):
+    """Structs to XML and back."""
+    from brindle.sources.files import to_xml
+
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit(None).cast("string").alias("note")).alias("s"))
+    back = rows.withColumn("x", to_xml(rows, "s", "Party")).withColumn("b", F.from_xml("x", "name string, segment string, note string", {"rowTag": "Party"}))
+    return back.select("c_custkey", "b.name", "b.segment", (F.col("b").eqNullSafe(F.col("s"))).alias("same"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'TRAIN-' || p_partkey ELSE 'fp:' || sha256(upper(p_name || '|' || p_brand || '|' || p_type)) END AS family, sha256(p_name || '|' || p_brand) AS duplicate FROM part")
+def family_keys(spark, sf_dir):
+    """Family and duplicate keys."""
+    part = table(spark, sf_dir, "part")
+    ref = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" TRAIN-"), F.col("p_partkey").cast("string"), F.lit(" ")))
+    return part.select(F.col("p_partkey").alias("id"), corpus.family_key(ref, F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("family"), corpus.duplicate_key(F.col("p_name"), F.col("p_brand")).alias("duplicate"))
