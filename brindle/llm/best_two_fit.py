@@ -175,5 +175,6 @@ def pack(pieces: DataFrame, *, capacity: int = 4096) -> DataFrame:
     # how many pieces of that length are in the partitions before: a running sum of one small row a partition
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "length", "base")
-    placed = pieces.join(base, ["part", "length"]).withColumn("rank", (F.col("own") + F.col("base")).cast("long"))
+    # the base grows with the partitions, so it is never broadcast; a hot length is many small (part, length) keys
+    placed = pieces.join(base.hint("merge"), ["part", "length"]).withColumn("rank", (F.col("own") + F.col("base")).cast("long"))
     return placed.select("key", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(ranges), "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

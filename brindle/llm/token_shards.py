@@ -315,8 +315,9 @@ def lookup(keys: DataFrame, index: DataFrame, buckets: int, *, key: str = "doc_i
     return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_answer, "key long, copy long, shard int, start long, length long")
 
 
-def _read(paths: dict[int, tuple[str, int]]):
+def _read(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: dict[int, tuple[str, int]] = shared.value
         reader, at = None, None
         for batch in batches:
             out = []
@@ -337,4 +338,5 @@ def read_records(located: DataFrame, shards: Shards) -> DataFrame:
     """Read the located records from their files: the ids before each, their number, and their checksum."""
     paths = {r["shard"]: (r["path"], r["base"]) for r in shards.rows}
     dealt = located.repartition(max(1, len(paths)), "shard", F.floor(F.col("start") / F.lit(1 << 20))).sortWithinPartitions("shard", "start")
-    return dealt.mapInArrow(_read(paths), "key long, copy long, shard int, start long, n_tokens long, ids_crc32 long")
+    shared = shards.spark.sparkContext.broadcast(paths)  # one entry a shard; their number is a parameter
+    return dealt.mapInArrow(_read(shared), "key long, copy long, shard int, start long, n_tokens long, ids_crc32 long")
