@@ -166,7 +166,7 @@ def _product(shared, kind: str):
         space, basis = shared.value
         vectors = (space.weights[:, None] * basis).astype(np.float32)
         total = np.zeros(basis.shape)
-        for batch in slices(batches, "terms", 1_000_000):
+        for batch in slices(batches, "terms", 100_000):  # so little that the gathered vectors stay in the cache
             numbers, n = _numbers(batch, kind)
             where = space.blocks_of(numbers, n)
             total += space.back(space.passages(vectors, *where), *where, len(basis))
@@ -213,6 +213,7 @@ class Item:
     key: int
     numbers: np.ndarray  # terms of all its words
     answer: np.ndarray  # distinct telling terms of its last sentence
+    member: np.ndarray  # of every term: is it one of its words
 
 
 @dataclass
@@ -242,7 +243,9 @@ def make_queries(rows: list[tuple[int, str]], v: Vocabulary, space: Space, vecto
         if not len(numbers):
             continue
         last = np.unique(v.numbers(normal_words(answer_text(text))))
-        items.append(Item(key, numbers, last[space.weights[last] > 0]))
+        member = np.zeros(v.size, dtype=bool)
+        member[numbers] = True
+        items.append(Item(key, numbers, last[space.weights[last] > 0], member))
         starts = list(range(0, max(1, len(numbers) - size + 1), size))
         if starts[-1] + size < len(numbers):
             starts.append(len(numbers) - size)
@@ -279,7 +282,10 @@ def verify(numbers: np.ndarray, item: Item, begin: int, s: Settings) -> tuple[bo
     """Does the text hold the item around word `begin`? Also the share of the item's words in common order."""
     slack = s.block + len(item.numbers) // 6
     window = numbers[max(0, begin - slack) : begin + len(item.numbers) + slack]
-    share = common_length(item.numbers, window) / len(item.numbers)
+    own = window[item.member[window]]  # no other word is common
+    if len(own) < s.paraphrase * len(item.numbers):
+        return False, 0.0
+    share = common_length(item.numbers, own) / len(item.numbers)
     if share >= s.near:
         return True, share
     if share < s.paraphrase or not len(item.answer):
@@ -303,6 +309,8 @@ def search(numbers: np.ndarray, n: np.ndarray, q: Queries, space: Space, vectors
     norm = np.linalg.norm(passages, axis=1)
     live = np.flatnonzero(norm > 1e-6)
     found: dict[tuple[int, int], tuple[float, float]] = {}
+    tried: set[tuple[int, int, int]] = set()
+    telling = q.telling.ravel().view(np.uint8)
     for at in range(0, len(live), 8192):
         some = live[at : at + 8192]
         cos = (passages[some] / norm[some][:, None]) @ q.latent.T
@@ -310,19 +318,21 @@ def search(numbers: np.ndarray, n: np.ndarray, q: Queries, space: Space, vectors
         if not len(p):
             continue
         value, block = cos[p, part], some[p]
-        shared = np.zeros(len(p), dtype=np.int64)
+        shared, base = np.zeros(len(p), dtype=np.int64), part * q.telling.shape[1]
         for step in range(s.blocks):
             same = (block + step < len(owner)) & (owner[np.minimum(block + step, len(owner) - 1)] == owner[block])
-            for c in range(s.block):
-                shared += q.telling[part, padded[block + step, c]] & same
+            shared += telling.take(base[:, None] + padded[block + step]).sum(axis=1, dtype=np.int64) * same
         keep = np.flatnonzero(shared >= np.maximum(1, s.overlap * q.many[part]))
         for k in keep.tolist():
             doc, item = int(owner[block[k]]), int(q.owner[part[k]])
             best = found.get((doc, item))
             if best is not None and best[1] >= s.near:
                 continue
-            own = numbers[first_word[doc] : first_word[doc] + n[doc]]
             begin = int(block[k] - first_block[doc]) * s.block - int(q.offset[part[k]])
+            if (doc, item, begin // 4) in tried:  # other passages and parts that point to the same place
+                continue
+            tried.add((doc, item, begin // 4))
+            own = numbers[first_word[doc] : first_word[doc] + n[doc]]
             holds, share = verify(own, q.items[item], begin, s)
             if holds and (best is None or share > best[1]):
                 found[doc, item] = (float(value[k]), share)
@@ -336,7 +346,7 @@ def _search(shared, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, space, latent = shared.value
         vectors = (space.weights[:, None] * latent).astype(np.float32)
-        for batch in slices(batches, "terms", 500_000):
+        for batch in slices(batches, "terms", 200_000):
             numbers, n = _numbers(batch, kind)
             got = search(numbers, n, q, space, vectors)
             if got:
