@@ -66,9 +66,9 @@ def limited(events: DataFrame, *, key: str, time: str, limit: int, seconds: floa
     return events.repartition(key).sortWithinPartitions(key, time).mapInPandas(run, schema)
 
 
-def limited_stream(events: DataFrame, *, key: str, time: str, limit: int, seconds: float) -> DataFrame:
-    """W03, W04 on a stream: key, time and allowed of each event. State is the times of at most `limit` events a key,
-    dropped when the key is silent for the window; late rows of a batch are put in time order first."""
+def limited_stream(events: DataFrame, *, key: str, time: str, limit: int, seconds: float, delay: str = "10 minutes") -> DataFrame:
+    """W03, W04 on a stream: key, time and allowed of each event. State is the times of at most `limit` events a key; it
+    goes when the watermark has passed the window. A batch's rows of a key are put in time order first."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -84,11 +84,12 @@ def limited_stream(events: DataFrame, *, key: str, time: str, limit: int, second
             if allowed[-1]:
                 own.append(t)
         state.update((own,))
-        state.setTimeoutDuration(int(seconds * 1000) + 60_000)
+        state.setTimeoutTimestamp(max(int((own[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: rows[key].to_numpy(), time: rows[time].to_numpy(), "allowed": allowed})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} timestamp, allowed boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    dealt = events.withWatermark(time, delay).groupBy(key)
+    return dealt.applyInPandasWithState(step, f"{key} {kind}, {time} timestamp, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def deduplicated(events: DataFrame, *, id: str, time: str, delay: str = "10 minutes") -> DataFrame:
@@ -96,8 +97,8 @@ def deduplicated(events: DataFrame, *, id: str, time: str, delay: str = "10 minu
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([id])
 
 
-def windowed_counts(events: DataFrame, *, time: str, by: list[str], width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Counts in event-time windows with a watermark for late rows."""
-    source = events.withWatermark(time, delay) if events.isStreaming else events
+def windowed_counts(events: DataFrame, *, time: str, by: list[str], width: str = "1 hour", delay: str | None = "1 hour") -> DataFrame:
+    """Counts in event-time windows with a watermark for late rows; delay None keeps the watermark that the stream has."""
+    source = events.withWatermark(time, delay) if events.isStreaming and delay else events
     counted = source.groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").alias("window_start"), *by, "n")
