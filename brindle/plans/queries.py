@@ -289,14 +289,14 @@ def quality_gate(spark, sf_dir):
 
 
 def _claims(spark, sf_dir):
-    """The first eight words of each question as a value, the answer as the text."""
-    turns = table(spark, sf_dir, "conversations")
+    """The first eight words of each question as a value, the answer as the text; ASCII only, as DuckDB's edit distance counts bytes."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", ""))
     asked = turns.where("turn = 0").select("conv_id", F.array_join(F.slice(F.split(tx.normalize_text(F.col("text")), " "), 1, 8), " ").alias("value"))
     told = turns.where("turn = 1").select("conv_id", "text")
     return asked.join(told, "conv_id")
 
 
-_ARG = f"""a AS (SELECT conv_id, array_to_string(string_split({norm('text')}, ' ')[1:8], ' ') AS value FROM conversations WHERE turn = 0), b AS (SELECT conv_id, text FROM conversations WHERE turn = 1),
+_ARG = f"""x AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM conversations), a AS (SELECT conv_id, array_to_string(string_split({norm('text')}, ' ')[1:8], ' ') AS value FROM x WHERE turn = 0), b AS (SELECT conv_id, text FROM x WHERE turn = 1),
 c AS (SELECT a.conv_id, row_number() OVER () AS r, value, list_distinct(list_filter(string_split(value, ' '), lambda w: w <> '')) AS own, list_distinct(list_filter(string_split({norm('text')}, ' '), lambda w: w <> '')) AS there FROM a JOIN b USING (conv_id))"""
 _FOLD = r"translate(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g'), '0158', 'oisb')"
 
@@ -434,7 +434,7 @@ def nested_audit(spark, sf_dir):
     return both.select("o_orderkey", score.alias("risk"), sure.alias("confidence"))
 
 
-@query("SELECT o_orderkey, 'items[' || (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) - 1) || '].discount' AS path, l_discount FROM orders JOIN lineitem ON o_orderkey = l_orderkey QUALIFY l_discount = 0".replace(", l_discount FROM", " FROM"))
+@query("SELECT o_orderkey, 'items[' || (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, nullif(l_discount, 0) NULLS FIRST) - 1) || '].discount' AS path, l_discount FROM orders JOIN lineitem ON o_orderkey = l_orderkey QUALIFY l_discount = 0".replace(", l_discount FROM", " FROM"))
 def mandatory_fields(spark, sf_dir):
     item = F.struct("l_linenumber", "l_partkey", F.nullif(F.col("l_discount"), F.lit(0.0)).alias("discount"))
     nested = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -519,8 +519,8 @@ def region_join(spark, sf_dir):
 
 @query(
     """WITH b AS (SELECT l_orderkey AS doc, l_linenumber * 100.0::DOUBLE AS x_min, 'P' || l_partkey AS text FROM lineitem), c AS (SELECT *, x_min + 8.0::DOUBLE * length(text) AS x_max FROM b),
-    g AS (SELECT *, x_min - lag(x_max) OVER w AS gap, lag(greatest(1.0::DOUBLE, (x_max - x_min) / greatest(length(text), 1))) OVER w AS width FROM c WINDOW w AS (PARTITION BY doc ORDER BY x_min, x_max, text)),
-    p AS (SELECT *, CASE WHEN gap IS NULL THEN '' ELSE repeat(' ', greatest(1, CAST(floor(gap / width * 0.15) AS INT))) END || text AS piece FROM g) SELECT doc, string_agg(piece, '' ORDER BY x_min, x_max, text) AS text FROM p GROUP BY doc"""
+    g AS (SELECT *, row_number() OVER w AS place, x_min - lag(x_max) OVER w AS gap, lag(greatest(1.0::DOUBLE, (x_max - x_min) / greatest(length(text), 1))) OVER w AS width FROM c WINDOW w AS (PARTITION BY doc ORDER BY x_min, x_max, text)),
+    p AS (SELECT *, CASE WHEN gap IS NULL THEN '' ELSE repeat(' ', greatest(1, CAST(floor(gap / width * 0.15) AS INT))) END || text AS piece FROM g) SELECT doc, string_agg(piece, '' ORDER BY place) AS text FROM p GROUP BY doc"""
 )
 def line_texts(spark, sf_dir):
     """Each order's boxes as one line, gaps as spaces."""
