@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from brindle.llm.common import slices, stored, texts_of
+from brindle.llm.common import BATCH_ROWS, slices, stored, texts_of
 
 _SEED, _BLOCK = 42, 100_000
 
@@ -156,5 +156,35 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shin
     classes = stored(marked.groupBy("__fp").agg(F.min(order).alias("first")).withColumnRenamed("__fp", "fp"), "classes")
     roots = components(links(classes.select("fp"), radius=radius))
     rooted = classes.join(roots, "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows_of(marked, kept, docs.schema)
+
+
+def rows_of(marked: DataFrame, kept: DataFrame, schema: StructType) -> DataFrame:
+    """The rows of a written table whose __row is kept. Only row numbers are shuffled: each file's numbers (__row holds
+    the writing partition, which wrote one file) come to the task that reads the file, and the texts stay where they are."""
+    part = lambda c: F.shiftright(F.col(c), 40)
+    paths = marked.select(F.input_file_name().alias("path"), part("__row").alias("part")).distinct()
+    places = kept.select(part("row").alias("part"), F.col("row")).groupBy("part").agg(F.collect_list(F.col("row").bitwiseAND(F.lit((1 << 40) - 1)).cast("int")).alias("rows"))  # as many as one file has rows
+    files = paths.join(places, "part").select("path", "rows")
+    return files.repartition(max(1, len(marked.inputFiles())), "path").mapInArrow(_read_rows(schema), schema)
+
+
+def _read_rows(schema: StructType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            for path, rows in zip(batch.column("path").to_pylist(), batch.column("rows"), strict=True):
+                wanted = np.sort(rows.values.to_numpy())
+                fs, name = pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(name) as source:
+                    for some in pq.ParquetFile(source).iter_batches(batch_size=BATCH_ROWS):
+                        own = some.column("__row").to_numpy() & ((1 << 40) - 1)
+                        keep = pa.array(np.isin(own, wanted, assume_unique=True))
+                        yield pa.RecordBatch.from_arrays([some.column(f.name).filter(keep).cast(f.type) for f in target], schema=target)
+
+    return run
