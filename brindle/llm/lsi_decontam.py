@@ -404,8 +404,10 @@ def _sum_counts(counts: DataFrame, size: int) -> np.ndarray:
     return sum((np.frombuffer(zlib.decompress(r["data"]), "<i8") for r in rows), np.zeros(size, dtype=np.int64)).astype(float)
 
 
-def keep_clean(docs: DataFrame, leaks: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without a leak, by key and text: a null key matches a null key."""
-    bad = leaks.select(F.col("doc_id").alias("__k"), F.col("digest").alias("__d")).distinct()
+def keep_clean(docs: DataFrame, leaks: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """The documents without a leak, by key and text: a null key matches a null key. Up to broadcast_rows leaks (16 bytes
+    each) go to the documents; more are joined by a shuffle."""
+    bad = stored(leaks.select(F.col("doc_id").alias("__k"), F.col("digest").alias("__d")).distinct(), "leaks")
+    side = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
     same = docs[key].cast("long").eqNullSafe(bad["__k"]) & (F.xxhash64(docs[text]) == bad["__d"])
-    return docs.join(bad, same, "left_anti")
+    return docs.join(side, same, "left_anti")
