@@ -8,8 +8,9 @@ probability of at most (1 - 0.3) ** 32, about one in 90,000; a window that is th
 
 A band's value can be equal only where the piece's own smallest shingle of that band stands. So signatures are
 computed for the windows around such shingles alone; this loses nothing and spares the other windows' minima.
-Candidates are verified by the exact share of the piece's shingles in the window, and the pieces found are summed
-over the template.
+The bands only name candidates: one met piece is enough. A candidate is verified by the exact share of the whole
+template's distinct shingles that the document has, wherever an edit falls. If a document has four fifths of a
+template's shingles, it has four fifths of at least one piece's.
 
 Defined results: null or empty text, or fewer than five words, matches nothing; a template needs five words;
 repeated notices in a document give one row for each document and license; rows with equal ids count as one
@@ -61,8 +62,7 @@ def template_pieces(spark: SparkSession, notices: list[tuple[str, str]]) -> Data
     each = F.ceil(F.size("all") / many).cast("int")
     pieces = base.select("template", "license", "all", F.posexplode(F.sequence(F.lit(0), many - 1)).alias("piece", "at"), each.alias("each"))
     cut = pieces.withColumn("shingles", F.array_distinct(F.slice("all", F.col("at") * F.col("each") + 1, F.col("each")))).where(F.size("shingles") > 0)
-    total = F.sum(F.size("shingles"))
-    sums = cut.groupBy("template").agg(total.cast("long").alias("n"))
+    sums = base.select("template", F.size(F.array_distinct("all")).cast("long").alias("n"))
     return cut.join(sums, "template").select("template", "license", "n", "piece", class_of(F.size("shingles")).alias("class"), "shingles")
 
 
@@ -88,7 +88,8 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, *, key:
     wanted = spark.createDataFrame([(x,) for x in sorted({x for r in listed for x in r["shingles"]})], "x long")
     for_bands = wanted.withColumn("keep", F.array(*[F.xxhash64("x", F.lit(b)).isin(list(marks[b])) for b in range(BANDS)]))
     anchors = [r["x"] for r in for_bands.where(F.exists("keep", lambda v: v)).collect()]
-    is_anchor = f"x IN ({', '.join(f'{a}L' if a > -(1 << 63) else 'CAST(-9223372036854775808 AS BIGINT)' for a in anchors)})"
+    literal = lambda a: f"{a}L" if a > -(1 << 63) else "CAST(-9223372036854775808 AS BIGINT)"
+    is_anchor = f"x IN ({', '.join(map(literal, anchors))})"
     # Arrays of one element bind a value to a name, so that it is computed once: the words w, then their hashes h.
     words = r"array(filter(split(lower(__text), '[^\\p{L}\\p{N}]+'), v -> v <> ''))"
     hashes = f"transform(filter({words}, w -> size(w) >= {SHINGLE}), w -> transform(sequence(0, size(w) - {SHINGLE}), k -> xxhash64({', '.join(f'get(w, k + {j})' for j in range(SHINGLE))})))"
@@ -100,13 +101,16 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, *, key:
         window.append(f"transform(array_distinct(flatten(transform(at, k -> sequence(CAST(ceil(greatest(k - {width - 1}, 0) / {stride}) AS INT), CAST(floor(k / {stride}) AS INT))))), j -> named_struct('class', {c}, 'h', array_distinct(slice(h, j * {stride} + 1, {width}))))")
     windows = found.select("__key", F.explode(F.expr(f"concat({', '.join(window)})")).alias("x")).select("__key", "x.class", F.col("x.h").alias("h"))
     signed = windows.select("__key", "class", "h", F.posexplode(minima(F.col("h"))).alias("band", "least"))
-    plain = spark.createDataFrame([(r["template"], r["license"], r["n"], r["piece"], r["class"], r["shingles"], r["minima"]) for r in listed], T.StructType([T.StructField("template", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("n", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("class", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("minima", T.ArrayType(T.LongType()))]))
-    banded = plain.select("template", "license", "n", "piece", "class", "shingles", F.posexplode("minima").alias("band", "least"))
-    met = signed.join(F.broadcast(banded), ["class", "band", "least"])  # the templates are a list in this module, or the caller's
-    share = F.size(F.array_intersect("h", "shingles"))
-    sure = met.select("__key", "template", "license", "n", "piece", share.alias("hits"), F.size("shingles").alias("size")).where(F.col("hits") >= F.lit(containment) * F.col("size"))
-    best = sure.groupBy("__key", "template", "license", "n", "piece").agg(F.max("hits").alias("hits"))
-    whole = best.groupBy("__key", "template", "license", "n").agg((F.sum("hits") / F.col("n")).alias("containment")).where(F.col("containment") >= containment)
+    banded = spark.createDataFrame([(r["template"], r["class"], k, m) for r in listed for k, m in enumerate(r["minima"])], "template int, class int, band int, least long")
+    met = signed.join(F.broadcast(banded.distinct()), ["class", "band", "least"])  # the templates are a list in this module, or the caller's
+    named = met.select(F.col("__key").alias("__named"), F.col("template").alias("__template")).distinct()
+    # all shingles of templates that the documents have, of rows with equal ids together
+    templates = spark.createDataFrame(sorted({(x, r["template"], r["license"], r["n"]) for r in listed for x in r["shingles"]}), "x long, template int, license string, n long")
+    is_wanted = f"x IN ({', '.join(literal(x) for x in sorted({x for r in listed for x in r['shingles']}))})"
+    own = found.select("__key", F.explode(F.expr(f"array_distinct(filter(h, x -> {is_wanted}))")).alias("x")).distinct()
+    hits = own.join(F.broadcast(templates), "x").groupBy("__key", "template", "license", "n").agg(F.count(F.lit(1)).alias("hits"))
+    enough = hits.where(F.col("hits") / F.col("n") >= containment)
+    whole = enough.join(named, F.col("__key").eqNullSafe(F.col("__named")) & (F.col("template") == F.col("__template")), "left_semi").withColumn("containment", F.col("hits") / F.col("n"))
     top = whole.groupBy("__key", "license").agg(F.max(F.struct("containment", "n")).alias("top"))
     return top.select(F.col("__key").alias(key), "license", F.col("top.containment").alias("containment"), F.col("top.n").alias("n_shingles"))
 

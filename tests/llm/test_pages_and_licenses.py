@@ -72,6 +72,27 @@ def test_licenses_match_brute_force(spark):
     assert license_minhash.scan(docs.limit(0)).count() == 0
 
 
+def test_edited_notices_are_found_by_their_whole_containment(spark):
+    def shingles(text):
+        words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    rows, want = [], set()
+    for license, notice in license_minhash.NOTICES:
+        words = notice.split()
+        for k in range(len(words)):
+            rows.append((len(rows), " ".join([*["lorem"] * 9, *words[:k], "changed", *words[k + 1 :], *["ipsum"] * 9])))
+            best = {}
+            for name, other in license_minhash.NOTICES:
+                whole = shingles(other)
+                share = len(whole & shingles(rows[-1][1])) / len(whole) if whole else 0
+                if share >= 0.8:
+                    best[name] = max(best.get(name, (0, 0)), (share, len(whole)))
+            want |= {(rows[-1][0], name, *x) for name, x in best.items()}
+    got = {tuple(r) for r in license_minhash.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 150 and got == want
+
+
 def test_licenses_use_no_python(spark):
     plan = license_minhash.scan(read_table(spark, SF, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
