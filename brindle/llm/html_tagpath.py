@@ -3,8 +3,9 @@
 A page is cut into blocks of text; each has the path of tags from the root down to it. Per path, the length of
 text and the number of punctuation marks a block are aggregated over the page. The two ratios are fused into
 one weight a block, smoothed along the page, and the paths above a threshold are content. The container is the
-deepest element that holds most of the weight of the content paths; the text is every block in it that no
-boilerplate element encloses, so short paragraphs and headings of the article stay.
+deepest element that holds all blocks of the content paths, or the article or main element around it, or what
+else encloses it and adds only headings and lists; the text is every block in it that no boilerplate element
+encloses, so short paragraphs and headings of the article stay.
 
 Defined results: null or empty html gives an empty text; so does a page without a content block; markup that is
 cut off is closed at the end; an unclosed tag mark is text; repeated rows are extracted each; an empty table
@@ -35,6 +36,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Never part of an article: by element, by role, by words of class or id.
 BOILERPLATE = frozenset("nav header footer aside form script style noscript template iframe object svg math canvas audio video select button input textarea dialog menu head".split())
+#: What belongs to an article beside its paragraphs.
+ARTICLE_PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup li dt dd".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 HINTS = frozenset("ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner sidebar sidenav side nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottom comment comments reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager".split())
 
@@ -46,10 +49,10 @@ KERNEL = (1, 2, 4, 2, 1)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "plain", "weight")
+    __slots__ = ("tag", "path", "parent", "plain")
 
     def __init__(self, tag: str, parent: _Element | None, label: str, plain: bool):
-        self.tag, self.parent, self.plain, self.weight = tag, parent, plain, 0.0
+        self.tag, self.parent, self.plain = tag, parent, plain
         self.path = f"{parent.path}/{label}" if parent else label
 
 
@@ -157,8 +160,8 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
     return out
 
 
-def path_weights(found: list[tuple[_Element, str]]) -> list[float]:
-    """One weight a block: its path's text length a block times its path's marks a block, smoothed along the page."""
+def path_ratios(found: list[tuple[_Element, str]]) -> list[float]:
+    """For each block, its path's text length a block times its path's marks a block; 0 in boilerplate."""
     sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for element, text in found:
         s = sums[element.path]
@@ -169,6 +172,11 @@ def path_weights(found: list[tuple[_Element, str]]) -> list[float]:
     for element, text in found:
         length, marks, n = sums[element.path]
         raw.append(math.log1p(length / n) * math.log1p(marks / n) if element.plain else 0.0)
+    return raw
+
+
+def path_weights(found: list[tuple[_Element, str]], raw: list[float]) -> list[float]:
+    """One weight a block: its path's ratios, smoothed along the page."""
     half = len(KERNEL) // 2
     out = []
     for k in range(len(raw)):
@@ -181,36 +189,64 @@ def path_weights(found: list[tuple[_Element, str]]) -> list[float]:
     return out
 
 
-def main_text(page: str, *, threshold: float = 0.5, share: float = 0.8) -> str:
-    """The text of the container of the content paths. threshold: of the mean weight that a path must reach; share: of
-    the content's weight that the container must hold."""
-    found = blocks(page)
-    plain = [k for k, (e, _) in enumerate(found) if e.plain]
-    if not plain:
-        return ""
-    weights = path_weights(found)
+def _line(e: _Element | None) -> list[_Element]:
+    """The elements from the root down to e."""
+    out = []
+    while e is not None:
+        out.append(e)
+        e = e.parent
+    return out[::-1]
+
+
+def _common(elements: list[_Element]) -> _Element:
+    """The deepest element that encloses all of them."""
+    line = _line(elements[0])
+    for e in elements[1:]:
+        own = _line(e)
+        same = next((k for k, (x, y) in enumerate(zip(line, own)) if x is not y), min(len(line), len(own)))
+        line = line[:same]
+    return line[-1]
+
+
+def _with_headings(best: _Element, elements: list[_Element], content: set[str]) -> _Element:
+    """The outermost element around best that adds only headings, list items, blocks of content paths and, below the
+    body, paragraphs of its own."""
+    lines = [_line(e) for e in elements]
+    out = best
+    for e in reversed(_line(best.parent)):
+        added = [x for x in lines if any(y is e for y in x) and not any(y is best for y in x)]
+        if not all(x[-1].path in content or any(y.tag in ARTICLE_PARTS for y in x) or (e.tag not in ("", "html", "body") and x[-1].tag == "p" and x[-1].parent is e) for x in added):
+            break
+        out = e
+    return out
+
+
+def _above(found: list[tuple[_Element, str]], plain: list[int], weights: list[float], threshold: float) -> set[str]:
+    """The paths whose blocks' mean weight reaches the threshold's share of the mean of all."""
     of_path: dict[str, list[float]] = defaultdict(list)
     for k in plain:
         of_path[found[k][0].path].append(weights[k])
     mean = sum(weights[k] for k in plain) / len(plain)
-    content = {p for p, w in of_path.items() if sum(w) / len(w) >= threshold * mean}
-    total = 0.0
-    elements: dict[int, _Element] = {}
-    for k in plain:
-        element, text = found[k]
-        if element.path in content:
-            w = (weights[k] + 1e-9) * len(text)
-            total += w
-            e = element
-            while e is not None:
-                e.weight += w
-                elements[id(e)] = e
-                e = e.parent
-    depth = lambda e: e.path.count("/")
-    fit = [e for e in elements.values() if e.weight >= share * total]
-    best = max(fit, key=depth)
+    return {p for p, w in of_path.items() if sum(w) / len(w) >= threshold * mean}
+
+
+def main_text(page: str, *, threshold: float = 0.5) -> str:
+    """The text of the container of the content paths. threshold: of the mean weight that a path must reach."""
+    found = blocks(page)
+    plain = [k for k, (e, _) in enumerate(found) if e.plain]
+    if not plain:
+        return ""
+    raw = path_ratios(found)
+    smooth = _above(found, plain, path_weights(found, raw), threshold)
+    content = smooth & _above(found, plain, raw, threshold) or smooth  # not by its neighbours alone
+    best = _common([found[k][0] for k in plain if found[k][0].path in content])
     while best.parent is not None and (best.tag in INLINE or best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "tbody", "pre", "blockquote")):
         best = best.parent  # a container of blocks, not one of them
+    around = [e for e in _line(best) if e.tag in ("article", "main")]
+    if around:
+        best = around[-1]  # the nearest
+    else:
+        best = _with_headings(best, [found[k][0] for k in plain], content)
 
     def inside(e: _Element | None) -> bool:
         while e is not None:

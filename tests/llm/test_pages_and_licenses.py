@@ -28,6 +28,23 @@ def test_odd_pages(page, text):
     assert html_tagpath.main_text(page) == text
 
 
+LONG = "A long sentence, with commas, and more of them, to carry weight. " * 12
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><article><h1>Title</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div></article></body>", f"Title {LONG}{LONG}"),
+        (f"<body><article><section><p>{LONG * 3}</p><p>{LONG}</p></section><section><p>Short end, here.</p></section></article></body>", f"{LONG * 4}Short end, here."),
+        (f"<body><article><p>Intro.</p><ul>{f'<li>{LONG}</li>' * 4}</ul></article></body>", f"Intro. {LONG * 4}"),
+        (f"<body><div class=post><h1>Title</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div></div><div class=legal>All rights, reserved.</div></body>", f"Title {LONG}{LONG}"),
+        (f"<body><div class=post><p>Intro.</p><ul>{f'<li>{LONG}</li>' * 4}</ul></div><div class=legal>All rights, reserved.</div></body>", f"Intro. {LONG * 4}"),
+    ],
+)
+def test_the_whole_article(page, text):
+    assert html_tagpath.main_text(page) == text.strip()
+
+
 def test_all_pages_have_their_article(spark):
     import html as entities
 
