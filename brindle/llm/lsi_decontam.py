@@ -42,7 +42,8 @@ class Settings:
     part: int = 24  # words of a benchmark part
     rank: int = 96
     extra: int = 16  # more columns than the rank in the sketch
-    stop_share: float = 0.02  # terms in more of the blocks than this tell nothing
+    stop_share: float = 0.02  # terms in more of the blocks than this tell nothing,
+    least_telling: int = 6  # but the rarest so many of each part do, however often its copies stand in the documents
     cosine: float = 0.4
     overlap: float = 0.3  # of a part's telling words that a passage must hold before it is compared in full
     near: float = 0.8  # of an item's words in common order: the passage itself
@@ -227,6 +228,29 @@ class Queries:
     many: np.ndarray  # telling words of each part
 
 
+def part_starts(n: int, size: int) -> list[int]:
+    """Where the parts of an item of n words begin: they cover it, and the last ends with it."""
+    starts = list(range(0, max(1, n - size + 1), size))
+    return [*starts, n - size] if starts[-1] + size < n else starts
+
+
+def term_weights(frequency: np.ndarray, items: list[np.ndarray], s: Settings) -> np.ndarray:
+    """The weight of each term by the blocks it stands in; frequency[0] is the number of blocks. Frequent terms weigh
+    nothing, except the rarest of each part that has few others: copies of a leak can make its own words frequent."""
+    blocks = max(int(frequency[0]), 1)
+    full = np.log(np.maximum(blocks / np.maximum(frequency, 1.0), 1.5)) ** 2
+    weights = full.copy()
+    weights[(frequency > s.stop_share * blocks) & (frequency > 8)] = 0
+    for numbers in items:
+        numbers = numbers[numbers > 0]
+        for at in part_starts(len(numbers), s.part):
+            own = np.unique(numbers[at : at + s.part])
+            rarest = own[np.argsort(frequency[own], kind="stable")][: s.least_telling]
+            weights[rarest] = full[rarest]
+    weights[0] = 0
+    return weights
+
+
 def answer_text(text: str) -> str:
     """The last sentence with a word; all of a text of one sentence."""
     found = [s for s in _SENTENCE.split(text) if normal_words(s)]
@@ -246,10 +270,7 @@ def make_queries(rows: list[tuple[int, str]], v: Vocabulary, space: Space, vecto
         member = np.zeros(v.size, dtype=bool)
         member[numbers] = True
         items.append(Item(key, numbers, last[space.weights[last] > 0], member))
-        starts = list(range(0, max(1, len(numbers) - size + 1), size))
-        if starts[-1] + size < len(numbers):
-            starts.append(len(numbers) - size)
-        for s in starts:
+        for s in part_starts(len(numbers), size):
             some = numbers[s : s + size]
             owner.append(len(items) - 1)
             offset.append(s)
@@ -376,10 +397,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
         counts = encoded.where("digest IS NULL").select(F.lit(0).alias("piece"), F.spark_partition_id().alias("part"), F.col("terms").alias("data"))
         frequency = _sum_counts(counts, v.size)
         encoded = encoded.where("digest IS NOT NULL")
-        blocks = max(int(frequency[0]), 1)
-        weights = np.log(blocks / np.maximum(frequency, 1.0)) ** 2
-        weights[(frequency > s.stop_share * blocks) & (frequency > 8)] = 0
-        weights[0] = 0
+        weights = term_weights(frequency, [v.numbers(normal_words(t)) for _, t in texts], s)
         weights /= max(weights.max(), 1e-9)
         space = Space(weights, s)
         latent = singular_vectors(encoded, space, v.kind)

@@ -295,3 +295,12 @@ def test_planted_passages_are_found(spark):
     assert clean.count() == both.count() - len({k for k, _ in got})
     assert lsi_decontam.find_leaks(both.limit(0), bench).count() == 0
     assert lsi_decontam.find_leaks(odd_rows(spark), bench.limit(0)).count() == 0
+
+
+def test_a_much_copied_passage_is_found(spark):
+    words = [f"word{k}" for k in range(48)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    copy = " ".join(["filler"] * 6 + words + ["filler"] * 6)
+    rows = [(k, copy if k % 3 == 0 else " ".join(f"other{k}x{j}" for j in range(120))) for k in range(90)]
+    got = lsi_decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {r["doc_id"] for r in got.collect()} == set(range(0, 90, 3))
