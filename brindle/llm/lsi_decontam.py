@@ -7,7 +7,7 @@
    vectors follow from this sketch of the Gram matrix. Only terms-by-rank matrices travel.
 3. Passages and benchmark parts meet in the latent space; pairs above a cosine are candidates.
 4. Each candidate is verified in the words: the longest common subsequence with the whole item around the
-   passage, and for paraphrases that the item's answer (its last sentence's telling words) is there.
+   passage, and for paraphrases that the item's answer (the telling words of its last sentence with some) is there.
 
 The benchmark is a stated query set; it is handled in blocks of `block_items`, so the matrices are bounded.
 
@@ -213,7 +213,7 @@ def leading_vectors(start: np.ndarray, sketch: np.ndarray, rank: int) -> np.ndar
 class Item:
     key: int
     numbers: np.ndarray  # terms of all its words
-    answer: np.ndarray  # distinct telling terms of its last sentence
+    answer: np.ndarray  # distinct telling terms of its last sentence that has some
     member: np.ndarray  # of every term: is it one of its words
 
 
@@ -251,10 +251,13 @@ def term_weights(frequency: np.ndarray, items: list[np.ndarray], s: Settings) ->
     return weights
 
 
-def answer_text(text: str) -> str:
-    """The last sentence with a word; all of a text of one sentence."""
-    found = [s for s in _SENTENCE.split(text) if normal_words(s)]
-    return found[-1] if found else ""
+def answer_terms(text: str, v: Vocabulary, weights: np.ndarray) -> np.ndarray:
+    """The distinct telling terms of the last sentence that has some."""
+    for sentence in reversed(_SENTENCE.split(text)):
+        terms = np.unique(v.numbers(normal_words(sentence)))
+        if (weights[terms] > 0).any():
+            return terms[weights[terms] > 0]
+    return np.zeros(0, dtype=np.int64)
 
 
 def make_queries(rows: list[tuple[int, str]], v: Vocabulary, space: Space, vectors: np.ndarray) -> Queries:
@@ -266,10 +269,9 @@ def make_queries(rows: list[tuple[int, str]], v: Vocabulary, space: Space, vecto
         numbers = numbers[numbers > 0]
         if not len(numbers):
             continue
-        last = np.unique(v.numbers(normal_words(answer_text(text))))
         member = np.zeros(v.size, dtype=bool)
         member[numbers] = True
-        items.append(Item(key, numbers, last[space.weights[last] > 0], member))
+        items.append(Item(key, numbers, answer_terms(text, v, space.weights), member))
         for s in part_starts(len(numbers), size):
             some = numbers[s : s + size]
             owner.append(len(items) - 1)

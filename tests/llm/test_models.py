@@ -304,3 +304,14 @@ def test_a_much_copied_passage_is_found(spark):
     rows = [(k, copy if k % 3 == 0 else " ".join(f"other{k}x{j}" for j in range(120))) for k in range(90)]
     got = lsi_decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert {r["doc_id"] for r in got.collect()} == set(range(0, 90, 3))
+
+
+def test_paraphrases_of_items_that_end_in_common_words():
+    text = "Which river crosses the old harbour town? Marlow says the Tamsin. It is so."
+    v = lsi_decontam.Vocabulary([text])
+    weights = np.ones(v.size)
+    weights[[0, *v.numbers(["it", "is", "so", "the"])]] = 0
+    item = lsi_decontam.make_queries([(1, text)], v, lsi_decontam.Space(weights, lsi_decontam.Settings()), np.eye(v.size)).items[0]
+    other = lambda words: v.numbers(words.split())
+    assert lsi_decontam.verify(other("which stream crosses an old town marlow says the tamsin yes"), item, 0, lsi_decontam.Settings())[0]
+    assert not lsi_decontam.verify(other("which river crosses the old harbour town it is so"), item, 0, lsi_decontam.Settings())[0]
