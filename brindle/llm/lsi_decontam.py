@@ -5,14 +5,18 @@
 2. A distributed randomised SVD of the TF-IDF passages of all documents: each partition multiplies its passages
    with a small random matrix and back, the products are summed over partitions, and the leading right singular
    vectors follow from this sketch of the Gram matrix. Only terms-by-rank matrices travel.
-3. Passages and benchmark parts meet in the latent space; pairs above a cosine are candidates.
+3. Passages and benchmark parts meet in the latent space; pairs above a cosine are candidates. Parts that have
+   few telling words besides common ones have no direction of their own there: their runs of `gram` words are
+   looked up exactly as well.
 4. Each candidate is verified in the words: the longest common subsequence with the whole item around the
    passage, and for paraphrases that the item's answer (the telling words of its last sentence with some) is there.
 
-The benchmark is a stated query set; it is handled in blocks of `block_items`, so the matrices are bounded.
+The benchmark is a stated query set with one vocabulary, one weighting and one latent space. Only one of more than
+`block_bytes` of distinct text is cut into blocks with a latent space each; the weights stay those of all documents.
 
-Defined results: null and empty texts hold no passage; benchmark items without a word match nothing; repeated
-items each match, repeated documents are each reported; a null key is kept; an empty table gives no rows.
+Defined results: null and empty texts hold no passage; benchmark items without a word match nothing; rows of the
+benchmark with equal id and text count once, items with equal texts each match; repeated documents are each
+reported; of equal shares the first place in the text counts; a null key is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,12 +48,13 @@ class Settings:
     extra: int = 16  # more columns than the rank in the sketch
     stop_share: float = 0.02  # terms in more of the blocks than this tell nothing,
     least_telling: int = 6  # but the rarest so many of each part do, however often its copies stand in the documents
+    gram: int = 6  # words of the runs by which parts with fewer telling terms are looked up
     cosine: float = 0.4
     overlap: float = 0.3  # of a part's telling words that a passage must hold before it is compared in full
     near: float = 0.8  # of an item's words in common order: the passage itself
     paraphrase: float = 0.5  # with the answer present
     answer: float = 0.75  # of the answer's telling words
-    block_items: int = 512
+    block_bytes: int = 64_000_000
 
 
 def normal_words(text: str) -> list[str]:
@@ -83,10 +88,11 @@ def _encode(shared, block: int):
             words = [t.lower().split() for t in texts_of(batch, "text")]
             numbers = v.numbers([w for x in words for w in x])
             n = np.array([len(w) for w in words], dtype=np.int64)
-            rows, _ = block_rows(n, block)
-            pairs = np.unique(rows[numbers > 0] * v.size + numbers[numbers > 0])
-            frequency += np.bincount(pairs % v.size, minlength=v.size)
-            blocks += int((-(-n // block)).sum())
+            own = np.sort(padded_blocks(numbers, n, block), axis=1)
+            first = own > 0
+            first[:, 1:] &= own[:, 1:] != own[:, :-1]
+            frequency += np.bincount(own[first], minlength=v.size)
+            blocks += len(own)
             ends, raw = np.cumsum(n), numbers.astype(v.kind)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("digest"), pa.array([raw[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)], type=pa.binary())], names=names)
         frequency[0] = blocks
@@ -103,6 +109,14 @@ def block_rows(n: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first, n) + own // block, np.repeat(np.arange(len(n)), many)
 
 
+def padded_blocks(numbers: np.ndarray, n: np.ndarray, block: int) -> np.ndarray:
+    """A row for each block of each text; the last of a text is filled up with zeros."""
+    rows, owner = block_rows(n, block)
+    out = np.zeros((len(owner), block), dtype=np.int32)
+    out[rows, (np.arange(len(numbers)) - np.repeat(np.cumsum(n) - n, n)) % block] = numbers
+    return out
+
+
 def _sum_tables(table: pa.Table) -> pa.Table:
     total = 0
     for x in table.column("data").to_pylist():
@@ -139,19 +153,18 @@ class Space:
                 out[:-step] += one[step:] * same
         return out
 
-    def back(self, p: np.ndarray, rows: np.ndarray, terms: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-        """Transposed passages times p: each block takes part in the passages that begin at it or just before."""
+    def back(self, p: np.ndarray, rows: np.ndarray, terms: np.ndarray, owner: np.ndarray, total: np.ndarray) -> None:
+        """Adds transposed passages times p to total, but for the weights: each block takes part in the passages that
+        begin at it or just before."""
         both = p.copy()
         for step in range(1, self.s.blocks):
             if len(owner) > step:
                 same = (owner[step:] == owner[:-step]).astype(np.float32)[:, None]
                 both[step:] += p[:-step] * same
-        out = np.zeros((size, p.shape[1]))
         if len(terms):
             order = np.argsort(terms, kind="stable")
             kinds, first = np.unique(terms[order], return_index=True)
-            out[kinds] = np.add.reduceat(both[rows[order]], first, axis=0)
-        return out * self.weights[:, None]
+            total[kinds] += np.add.reduceat(both[rows[order]], first, axis=0)
 
 
 def _numbers(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +180,11 @@ def _product(shared, kind: str):
         space, basis = shared.value
         vectors = (space.weights[:, None] * basis).astype(np.float32)
         total = np.zeros(basis.shape)
-        for batch in slices(batches, "terms", 100_000):  # so little that the gathered vectors stay in the cache
+        for batch in slices(batches, "terms", 200_000):  # so little that the gathered vectors stay in the cache
             numbers, n = _numbers(batch, kind)
             where = space.blocks_of(numbers, n)
-            total += space.back(space.passages(vectors, *where), *where, len(basis))
+            space.back(space.passages(vectors, *where), *where, total)
+        total *= space.weights[:, None]
         part = TaskContext.get().partitionId()
         for k, piece in enumerate(np.array_split(total, _PIECES)):
             yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([part], type=pa.int32()), pa.array([zlib.compress(piece.astype("<f8").tobytes(), 1)], type=pa.binary())], schema=_TABLE)
@@ -209,12 +223,37 @@ def leading_vectors(start: np.ndarray, sketch: np.ndarray, rank: int) -> np.ndar
     return vectors[:, :rank]
 
 
-@dataclass
 class Item:
-    key: int
-    numbers: np.ndarray  # terms of all its words
-    answer: np.ndarray  # distinct telling terms of its last sentence that has some
-    member: np.ndarray  # of every term: is it one of its words
+    """A benchmark item: its terms, where each stands (as bits), and its answer: the distinct telling terms of its last
+    sentence that has some."""
+
+    def __init__(self, key: int, numbers: np.ndarray, answer: np.ndarray):
+        self.key, self.size, self.answer = key, len(numbers), set(answer.tolist())
+        self.places: dict[int, int] = {}
+        for k, x in enumerate(numbers.tolist()):
+            self.places[x] = self.places.get(x, 0) | 1 << k
+
+
+class Members:
+    """A set of numbers with a quick test that has false positives and an exact one."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        self.shift = np.uint64(64 - max(8, len(self.values).bit_length() + 4))
+        self.table = np.zeros(1 << int(64 - self.shift), dtype=np.uint8)
+        self.table[self._places(self.values)] = 1
+
+    def _places(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def maybe(self, x: np.ndarray) -> np.ndarray:
+        return self.table.take(self._places(x))
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.zeros(x.shape, dtype=bool)
+        return self.values[np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)] == x
 
 
 @dataclass
@@ -222,10 +261,11 @@ class Queries:
     items: list[Item]
     owner: np.ndarray  # item of each part
     offset: np.ndarray  # first word of each part in its item
-    length: np.ndarray
     latent: np.ndarray  # unit vectors of the parts
-    telling: np.ndarray  # part by term: is it one of its telling words
+    telling: Members  # part times size of the vocabulary plus telling term
+    size: int  # of the vocabulary
     many: np.ndarray  # telling words of each part
+    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: keys of the runs of parts of common words, sorted; item and place of each
 
 
 def part_starts(n: int, size: int) -> list[int]:
@@ -234,13 +274,17 @@ def part_starts(n: int, size: int) -> list[int]:
     return [*starts, n - size] if starts[-1] + size < n else starts
 
 
+def too_common(frequency: np.ndarray, s: Settings) -> np.ndarray:
+    return (frequency > s.stop_share * max(int(frequency[0]), 1)) & (frequency > 8)
+
+
 def term_weights(frequency: np.ndarray, items: list[np.ndarray], s: Settings) -> np.ndarray:
     """The weight of each term by the blocks it stands in; frequency[0] is the number of blocks. Frequent terms weigh
     nothing, except the rarest of each part that has few others: copies of a leak can make its own words frequent."""
     blocks = max(int(frequency[0]), 1)
     full = np.log(np.maximum(blocks / np.maximum(frequency, 1.0), 1.5)) ** 2
     weights = full.copy()
-    weights[(frequency > s.stop_share * blocks) & (frequency > 8)] = 0
+    weights[too_common(frequency, s)] = 0
     for numbers in items:
         numbers = numbers[numbers > 0]
         for at in part_starts(len(numbers), s.part):
@@ -260,105 +304,145 @@ def answer_terms(text: str, v: Vocabulary, weights: np.ndarray) -> np.ndarray:
     return np.zeros(0, dtype=np.int64)
 
 
-def make_queries(rows: list[tuple[int, str]], v: Vocabulary, space: Space, vectors: np.ndarray) -> Queries:
-    items, owner, offset, length, latent = [], [], [], [], []
+def run_keys(numbers: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit number for each run of so many terms; equal runs have equal ones."""
+    base, many = 0x9E3779B97F4A7C15, max(0, len(numbers) - length + 1)
+    out, wide = np.zeros(many, dtype=np.uint64), numbers.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length):
+            out = out * np.uint64(base) + wide[k : k + many] + np.uint64(1)
+    return out
+
+
+def make_queries(rows: list[tuple[int, str]], v: Vocabulary, space: Space, vectors: np.ndarray, common: np.ndarray | None = None) -> Queries:
+    """common: of each term, is it too frequent to tell anything (though it may have got a weight for want of others)."""
+    s = space.s
+    items, owner, offset, latent, telling, many = [], [], [], [], [], []
+    grams: dict[int, list[tuple[int, int, int]]] = {}
     weighted = space.weights[:, None] * vectors
-    size = space.s.part
     for key, text in rows:
         numbers = v.numbers(normal_words(text))
         numbers = numbers[numbers > 0]
         if not len(numbers):
             continue
-        member = np.zeros(v.size, dtype=bool)
-        member[numbers] = True
-        items.append(Item(key, numbers, answer_terms(text, v, space.weights), member))
-        for s in part_starts(len(numbers), size):
-            some = numbers[s : s + size]
-            owner.append(len(items) - 1)
-            offset.append(s)
-            length.append(len(some))
+        for at in part_starts(len(numbers), s.part):
+            some = numbers[at : at + s.part]
             x = weighted[some].sum(axis=0)
             latent.append(x / max(np.linalg.norm(x), 1e-9))
-    telling = np.zeros((len(owner), v.size), dtype=bool)
-    for k, (o, s, m) in enumerate(zip(owner, offset, length, strict=True)):
-        some = items[o].numbers[s : s + m]
-        telling[k, some] = space.weights[some] > 0
-    return Queries(items, *(np.array(x, dtype=np.int64) for x in (owner, offset, length)), np.array(latent, dtype=np.float32).reshape(len(latent), vectors.shape[1]), telling, telling.sum(axis=1))
-
-
-def common_length(left: np.ndarray, right: np.ndarray) -> int:
-    """Length of the longest common subsequence, by rows of bits in one integer."""
-    places: dict[int, int] = {}
-    for k, x in enumerate(left.tolist()):
-        places[x] = places.get(x, 0) | 1 << k
-    full = (1 << len(left)) - 1
+            own = np.unique(some)
+            own = own[space.weights[own] > 0]
+            telling.append(len(owner) * v.size + own)
+            many.append(len(own))
+            owner.append(len(items))
+            offset.append(at)
+            if common is not None and (~common[own]).sum() < s.least_telling:
+                length = min(s.gram, len(some))
+                grams.setdefault(length, []).extend((k, len(items), at + j) for j, k in enumerate(run_keys(some, length).tolist()))
+        items.append(Item(key, numbers, answer_terms(text, v, space.weights)))
+    listed = {}
+    for length, runs in grams.items():
+        runs = sorted(set(runs))
+        listed[length] = tuple(np.array([r[k] for r in runs], dtype=t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
+    number = lambda x: np.array(x, dtype=np.int64)
+    return Queries(items, number(owner), number(offset), np.array(latent, dtype=np.float32).reshape(len(latent), vectors.shape[1]), Members(np.concatenate(telling) if telling else number([])), v.size, number(many), listed)
+
+
+def common_length(item: Item, right: list[int]) -> int:
+    """Length of the longest common subsequence of an item and a list of terms, by rows of bits in one integer."""
+    get, full = item.places.get, (1 << item.size) - 1
     state = full
-    for x in right.tolist():
-        match = places.get(x, 0)
+    for x in right:
+        match = get(x)
         if match:
             u = state & match
             state = ((state + u) | (state - u)) & full
-    return len(left) - state.bit_count()
+    return item.size - state.bit_count()
 
 
 def verify(numbers: np.ndarray, item: Item, begin: int, s: Settings) -> tuple[bool, float]:
     """Does the text hold the item around word `begin`? Also the share of the item's words in common order."""
-    slack = s.block + len(item.numbers) // 6
-    window = numbers[max(0, begin - slack) : begin + len(item.numbers) + slack]
-    own = window[item.member[window]]  # no other word is common
-    if len(own) < s.paraphrase * len(item.numbers):
+    slack = s.block + item.size // 6
+    window = numbers[max(0, begin - slack) : max(0, begin + item.size + slack)].tolist()
+    own = [x for x in window if x in item.places]  # no other word is common
+    if len(own) < s.paraphrase * item.size:
         return False, 0.0
-    share = common_length(item.numbers, own) / len(item.numbers)
+    share = common_length(item, own) / item.size
     if share >= s.near:
         return True, share
-    if share < s.paraphrase or not len(item.answer):
+    if share < s.paraphrase or not item.answer:
         return False, share
-    return bool(np.isin(item.answer, window).mean() >= s.answer), share
+    return len(item.answer.intersection(window)) >= s.answer * len(item.answer), share
 
 
-def search(numbers: np.ndarray, n: np.ndarray, q: Queries, space: Space, vectors: np.ndarray) -> list[tuple[int, int, float, float]]:
-    """(text, item, cosine, share) of every text of a batch that holds an item; one for each text and item."""
+def _shared(member, padded: np.ndarray, block: np.ndarray, base: np.ndarray, last: np.ndarray, blocks: int) -> np.ndarray:
+    """How many words of the passage that begins at each block are members, as terms of the part that base stands for."""
+    out = np.zeros(len(block), dtype=np.int64)
+    for step in range(blocks):
+        out += member(base[:, None] + padded[block + step]).sum(axis=1, dtype=np.int64) * (last[block + step] == last[block])
+    return out
+
+
+def _candidates(numbers: np.ndarray, n: np.ndarray, q: Queries, space: Space, vectors: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(text, item, first word of the item in the text, cosine) by cosine and shared telling words, then by exact runs."""
     s = space.s
     rows, terms, owner = space.blocks_of(numbers, n)
-    if not len(owner) or not len(q.items):
-        return []
-    many = -(-n // s.block)
-    first_block, first_word = np.cumsum(many) - many, np.cumsum(n) - n
-    padded = np.zeros((len(owner) + s.blocks, s.block), dtype=np.int64)
-    row_of, _ = block_rows(n, s.block)
-    column = (np.arange(len(numbers)) - np.repeat(first_word, n)) % s.block
-    padded[row_of, column] = numbers
+    first_block, first_word = np.cumsum(-(-n // s.block)) - -(-n // s.block), np.cumsum(n) - n
+    padded = np.concatenate([padded_blocks(numbers, n, s.block), np.zeros((s.blocks, s.block), dtype=np.int32)])
+    weights = np.bincount(rows, minlength=len(owner) + s.blocks)  # telling words of each block
+    last = np.concatenate([owner, np.full(s.blocks, -1)])
+    held = weights[: len(owner)].copy()
+    for step in range(1, s.blocks):
+        held += weights[step : step + len(owner)] * (last[step : step + len(owner)] == owner)
     passages = space.passages(vectors, rows, terms, owner)
-    norm = np.linalg.norm(passages, axis=1)
-    live = np.flatnonzero(norm > 1e-6)
+    norm = np.sqrt(np.einsum("ij,ij->i", passages, passages))
+    # a passage with fewer telling words than any part asks for can't pass the comparison below
+    least = int(np.ceil(s.overlap * q.many.min())) if len(q.many) else 1
+    live = np.flatnonzero((norm > 1e-6) & (held >= max(1, least)))
+    for at in range(0, len(live), 4096):
+        some = live[at : at + 4096]
+        dots = passages[some] @ q.latent.T
+        flat = np.flatnonzero(dots > s.cosine * norm[some][:, None])
+        if not len(flat):
+            continue
+        p, part = np.divmod(flat, dots.shape[1])
+        block = some[p]
+        value = dots.ravel()[flat] / norm[block]
+        enough = np.maximum(1, s.overlap * q.many[part])
+        quick = np.flatnonzero(_shared(q.telling.maybe, padded, block, part * q.size, last, s.blocks) >= enough)
+        p, part, block, value, enough = p[quick], part[quick], block[quick], value[quick], enough[quick]
+        for k in np.flatnonzero(_shared(q.telling.has, padded, block, part * q.size, last, s.blocks) >= enough).tolist():
+            doc = int(owner[block[k]])
+            yield doc, int(q.owner[part[k]]), int(block[k] - first_block[doc]) * s.block - int(q.offset[part[k]]), float(value[k])
+    ends = np.cumsum(n)
+    for length, (keys, item, place) in q.grams.items():
+        found = run_keys(numbers, length)
+        low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+        for at in np.flatnonzero(high > low).tolist():
+            doc = int(np.searchsorted(ends, at, "right"))
+            if at + length <= ends[doc]:
+                for k in range(low[at], high[at]):
+                    yield doc, int(item[k]), int(at - first_word[doc] - place[k]), 0.0
+
+
+def search(numbers: np.ndarray, n: np.ndarray, q: Queries, space: Space, vectors: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """(text, item, cosine, share) of every text of a batch that holds an item; one for each text and item. The cosine is
+    0 if the place was found by a run of common words."""
+    s = space.s
+    if not len(numbers) or not len(q.items):
+        return []
+    first_word = np.cumsum(n) - n
     found: dict[tuple[int, int], tuple[float, float]] = {}
     tried: set[tuple[int, int, int]] = set()
-    telling = q.telling.ravel().view(np.uint8)
-    for at in range(0, len(live), 8192):
-        some = live[at : at + 8192]
-        cos = (passages[some] / norm[some][:, None]) @ q.latent.T
-        p, part = np.nonzero(cos > s.cosine)
-        if not len(p):
+    for doc, item, begin, value in _candidates(numbers, n, q, space, vectors):
+        best = found.get((doc, item))
+        if best is not None and best[1] >= s.near:
+            continue
+        if (doc, item, begin // 4) in tried:  # other passages and parts that point to the same place
             continue
-        value, block = cos[p, part], some[p]
-        shared, base = np.zeros(len(p), dtype=np.int64), part * q.telling.shape[1]
-        for step in range(s.blocks):
-            same = (block + step < len(owner)) & (owner[np.minimum(block + step, len(owner) - 1)] == owner[block])
-            shared += telling.take(base[:, None] + padded[block + step]).sum(axis=1, dtype=np.int64) * same
-        keep = np.flatnonzero(shared >= np.maximum(1, s.overlap * q.many[part]))
-        for k in keep.tolist():
-            doc, item = int(owner[block[k]]), int(q.owner[part[k]])
-            best = found.get((doc, item))
-            if best is not None and best[1] >= s.near:
-                continue
-            begin = int(block[k] - first_block[doc]) * s.block - int(q.offset[part[k]])
-            if (doc, item, begin // 4) in tried:  # other passages and parts that point to the same place
-                continue
-            tried.add((doc, item, begin // 4))
-            own = numbers[first_word[doc] : first_word[doc] + n[doc]]
-            holds, share = verify(own, q.items[item], begin, s)
-            if holds and (best is None or share > best[1]):
-                found[doc, item] = (float(value[k]), share)
+        tried.add((doc, item, begin // 4))
+        holds, share = verify(numbers[first_word[doc] : first_word[doc] + n[doc]], q.items[item], begin, s)
+        if holds and (best is None or share > best[1]):
+            found[doc, item] = (value, share)
     return [(d, i, *x) for (d, i), x in sorted(found.items())]
 
 
@@ -374,7 +458,7 @@ def _search(shared, kind: str):
             got = search(numbers, n, q, space, vectors)
             if got:
                 doc = pa.array([g[0] for g in got])
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(doc), batch.column("digest").take(doc), pa.array([q.items[g[1]].key for g in got], type=pa.int64()), pa.array([g[2] for g in got]), pa.array([g[3] for g in got])], names=["doc_id", "digest", "item_id", "cosine", "lcs_share"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(doc), batch.column("digest").take(doc), pa.array([q.items[g[1]].key for g in got], type=pa.int64()), pa.array([g[2] for g in got], type=pa.float64()), pa.array([g[3] for g in got], type=pa.float64())], names=["doc_id", "digest", "item_id", "cosine", "lcs_share"])
 
     return run
 
@@ -385,12 +469,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     s = settings or Settings()
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
-    bench = stored(benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL"), "benchmark")
-    n_blocks = max(1, -(-bench.count() // s.block_items))
+    bench = stored(benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").distinct(), "benchmark")
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // s.block_bytes))
     out = None
     for b in range(n_blocks):
         some = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
-        texts = [(r["i"], r["t"]) for r in some.orderBy("i", "t").collect()]  # about block_items rows
+        texts = [(r["i"], r["t"]) for r in some.orderBy("i", "t").collect()]  # about block_bytes of text
         v = Vocabulary([t for _, t in texts])
         if v.size == 1:  # no word to find
             continue
@@ -403,7 +488,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
         weights /= max(weights.max(), 1e-9)
         space = Space(weights, s)
         latent = singular_vectors(encoded, space, v.kind)
-        q = make_queries(texts, v, space, latent)
+        q = make_queries(texts, v, space, latent, too_common(frequency, s))
         shared = spark.sparkContext.broadcast((q, space, latent))
         got = encoded.mapInArrow(_search(shared, v.kind), LEAK)
         out = got if out is None else out.union(got)

@@ -273,7 +273,7 @@ def common(a, b):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=20), st.lists(st.integers(0, 5), max_size=20))
 def test_common_length(a, b):
-    assert lsi_decontam.common_length(np.array(a), np.array(b, dtype=np.int64)) == common(a, b)
+    assert lsi_decontam.common_length(lsi_decontam.Item(1, np.array(a), np.zeros(0, dtype=np.int64)), b) == common(a, b)
 
 
 def test_planted_passages_are_found(spark):
@@ -306,6 +306,28 @@ def test_a_much_copied_passage_is_found(spark):
     assert {r["doc_id"] for r in got.collect()} == set(range(0, 90, 3))
 
 
+def test_a_passage_of_common_words_is_found(spark):
+    # every word of the item stands in a third of all blocks, next to words that weigh far more
+    words = [f"common{k}" for k in range(24)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words)), (2, "rare0x1 rare1x1 rare2x1 rare3x1")], "item_id long, text string")
+    rows = []
+    for k in range(300):
+        own = [w for j in range(8) for w in (words[(7 * k + 5 * j) % 24], f"rare{k}x{j}", words[(11 * k + 13 * j) % 24])]
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join([f"rare{j}x1" for j in range(40)] + words + [f"rare{j}x2" for j in range(40)])) for k in range(2)]
+    got = lsi_decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("item_id = 1").collect()
+    assert sorted(r["doc_id"] for r in got) == [1000, 1001]
+
+
+def test_one_space_for_all_items(spark):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    bench = read_table(spark, SF, "benchmark").select("item_id", "text")
+    more = bench.unionByName(spark.createDataFrame([(10_000 + k, f"unrelated{k} words{k} only{k} here{k} and{k} there{k}") for k in range(700)], "item_id long, text string"))
+    few = {(r["doc_id"], r["item_id"]) for r in lsi_decontam.find_leaks(docs, bench).collect()}
+    many = {(r["doc_id"], r["item_id"]) for r in lsi_decontam.find_leaks(docs, more).collect()}
+    assert few and few == many
+
+
 def test_paraphrases_of_items_that_end_in_common_words():
     text = "Which river crosses the old harbour town? Marlow says the Tamsin. It is so."
     v = lsi_decontam.Vocabulary([text])
