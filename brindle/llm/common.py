@@ -23,11 +23,13 @@ _written: list[tuple[object, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only if the session has none (tests)."""
+    """The folder in spark.checkpoint.dir. Only a session on one machine that has none gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-checkpoints-"))
         root = sc._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
@@ -57,6 +59,20 @@ def _remove_written() -> None:
             return
 
 
+#: Names of Hadoop's file systems that Arrow's file layer knows by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def file_system(path: str):
+    """Arrow's file system and the path in it, for workers that read or write files of their own format."""
+    import pyarrow.fs as pafs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

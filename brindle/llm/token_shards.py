@@ -5,7 +5,8 @@ partition: raw unsigned little-endian ids, then the keys, lengths and a footer.
 (key, copy) to (shard, offset, length): keys are dealt into buckets of a few thousand by their hash; each
 bucket gets a cascade of bit arrays in which a key that falls alone on a bit owns it, and the rank of that bit
 is its slot (BBHash: minimal, perfect, a constant expected number of probes). A 32-bit fingerprint in the slot
-rejects foreign keys. `lookup` answers (key, copy) requests from the index and `read_records` reads the ids.
+rejects foreign keys. Entries of a bucket whose 64-bit hashes are equal (only copies can have such) are kept beside
+it with their keys, so none is lost. `lookup` answers (key, copy) requests from the index and `read_records` reads the ids.
 
 Defined results: null text is an empty document (only the end id); a null key sorts first and is a key of its
 own; repeated keys get copy numbers 0, 1, ... in file order, ordered by text; an empty table gives no shards,
@@ -24,11 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import shared_path, slices, stored
+from brindle.llm.common import file_system, shared_path, slices, stored
 from brindle.llm.tokens import encoder
 
 #: Of the file format.
@@ -120,15 +120,11 @@ class PerfectHash:
 # -- files --------------------------------------------------------------------------------------------------
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 class ShardReader:
     """One shard file: its key table, and the ids of any of its records by offset and length."""
 
     def __init__(self, path: str):
-        fs, name = _file_system(path)
+        fs, name = file_system(path)
         self.file = fs.open_input_file(name)
         size = self.file.size()
         self.n_docs, self.n_ids, self.width = struct.unpack(FOOTER, self.file.read_at(struct.calcsize(FOOTER), size - struct.calcsize(FOOTER) - len(MAGIC)))
@@ -160,13 +156,15 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int):
         for batch in slices(batches, "text"):
             if out is None:
                 path = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.bin"
-                fs, name = _file_system(path)
+                fs, name = file_system(path)
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(name)
                 out.write(MAGIC)
             ids, counts = coder.encode(batch.column("text"))
             ends = np.cumsum(counts)
             whole = np.insert(ids, ends, end_id)
+            if int(whole.max()) >> 8 * width:
+                raise ValueError(f"the id {int(whole.max())} doesn't fit in {width} bytes")
             out.write(whole.astype(f"<u{width}").tobytes())
             column = batch.column("key")
             keys.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
@@ -200,17 +198,19 @@ class Shards:
         return sum(r["n_docs"] for r in self.rows)
 
 
-def write_shards(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, id_bytes: int = 2, shards: int | None = None) -> Shards:
+def write_shards(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, id_bytes: int = 2, shards: int | None = None, shard_bytes: int = 256_000_000) -> Shards:
     """Tokenize whole texts and write them as shard files in ascending key order.
 
-    id_bytes: 2 holds vocabularies of up to 65,536 ids, 4 any. shards: number of files, by default the
-    session's number of shuffle partitions; raise it with the data so that a shard stays near 256 MB.
+    id_bytes: 2 holds ids below 65,536, 4 any; a larger id is an error. shards: number of files, by default the
+    session's number of shuffle partitions, or more so that each has about shard_bytes of text.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = shards or docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     folder = shared_path(spark, "shards")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(n, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
+    # equal rows may be split anywhere: their records are the same
+    dealt = rows.repartitionByRange(n, "key", F.xxhash64("text"), F.rand(7)).sortWithinPartitions("key", F.xxhash64("text"), "text")
     schema = "part int, path string, n_docs long, n_ids long, first_key long, first_run long, last_key long, last_run long"
     manifest = stored(dealt.mapInArrow(_writer(folder, vocabulary, end_id, id_bytes), schema), "manifest")
     found = [r.asDict() for r in manifest.orderBy("part").collect()]  # one row a shard
@@ -242,26 +242,39 @@ def _entries(buckets: int):
                 start = np.cumsum(length) - length
                 for at in range(0, len(key), 100_000):
                     s = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array((h[s] >> np.uint64(20)) % np.uint64(buckets)).cast(pa.int64()), pa.array(h[s].view(np.int64)), pa.array(np.full(len(h[s]), shard, dtype=np.int32)), pa.array(start[s]), pa.array(length[s])], names=["bucket", "hash", "shard", "start", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array((h[s] >> np.uint64(20)) % np.uint64(buckets)).cast(pa.int64()), pa.array(h[s].view(np.int64)), pa.array(np.full(len(h[s]), shard, dtype=np.int32)), pa.array(start[s]), pa.array(length[s]), pa.array(key[s].astype(np.int64), mask=~ok[s]), pa.array(copy[s])], names=["bucket", "hash", "shard", "start", "length", "key", "copy"])
 
     return run
 
 
+_BUCKET = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("hash_function", pa.binary()), ("slots", pa.binary()), ("alike", pa.binary())])
+_LOCATED = pa.schema([("key", pa.int64()), ("copy", pa.int64()), ("shard", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
+
+
 def _build(table: pa.Table) -> pa.Table:
+    bucket = table.column("bucket")[0].as_py()
     h = table.column("hash").to_numpy().view(np.uint64)
+    _, back, many = np.unique(h, return_inverse=True, return_counts=True)
+    single = many[back] == 1
+    alike = b""
+    if not single.all():
+        own = table.filter(pa.array(~single)).select(_LOCATED.names).cast(_LOCATED)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _LOCATED) as out:
+            out.write_table(own)
+        alike, table, h = sink.getvalue().to_pybytes(), table.filter(pa.array(single)), h[single]
     perfect = PerfectHash(h)
-    slot = perfect.slots(h)
     order = np.empty(len(h), dtype=np.int64)
-    order[slot] = np.arange(len(h))
+    order[perfect.slots(h)] = np.arange(len(h))
     columns = [table.column("shard").to_numpy()[order].astype("<i4"), table.column("start").to_numpy()[order].astype("<i8"), table.column("length").to_numpy()[order].astype("<i8"), (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4")]
-    return pa.table({"bucket": [table.column("bucket")[0].as_py()], "n": [len(h)], "hash_function": [perfect.dump()], "slots": [b"".join(c.tobytes() for c in columns)]}, schema=pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("hash_function", pa.binary()), ("slots", pa.binary())]))
+    return pa.table({"bucket": [bucket], "n": [len(h)], "hash_function": [perfect.dump()], "slots": [b"".join(c.tobytes() for c in columns)], "alike": [alike]}, schema=_BUCKET)
 
 
 def build_index(shards: Shards, *, bucket_keys: int = 4096) -> tuple[DataFrame, int]:
     """One row a bucket: its hash function and its slots. Also returns the number of buckets."""
     buckets = max(1, -(-shards.n_docs // bucket_keys))
-    found = shards.frame().repartition(max(1, len(shards.rows)), "shard").mapInArrow(_entries(buckets), "bucket long, hash long, shard int, start long, length long")
-    built = found.groupBy("bucket").applyInArrow(_build, "bucket long, n long, hash_function binary, slots binary")
+    found = shards.frame().repartition(max(1, len(shards.rows)), "shard").mapInArrow(_entries(buckets), "bucket long, hash long, shard int, start long, length long, key long, copy long")
+    built = found.groupBy("bucket").applyInArrow(_build, "bucket long, n long, hash_function binary, slots binary, alike binary")
     return stored(built, "index"), buckets
 
 
@@ -295,9 +308,6 @@ def _requests(buckets: int):
     return run
 
 
-_LOCATED = pa.schema([("key", pa.int64()), ("copy", pa.int64()), ("shard", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
-
-
 def _answer(asked: pa.Table, index: pa.Table) -> pa.Table:
     if not asked.num_rows or not index.num_rows:
         return _LOCATED.empty_table()
@@ -305,7 +315,15 @@ def _answer(asked: pa.Table, index: pa.Table) -> pa.Table:
     found, shard, start, length = probe(one["hash_function"], one["slots"], one["n"], asked.column("hash").to_numpy().view(np.uint64))
     keep = pa.array(found)
     columns = [asked.column("key").combine_chunks(), asked.column("copy").combine_chunks(), pa.array(shard), pa.array(start), pa.array(length)]
-    return pa.table([c.filter(keep) for c in columns], schema=_LOCATED)
+    out = pa.table([c.filter(keep) for c in columns], schema=_LOCATED)
+    alike = index.column("alike")[0].as_py()
+    if not alike:
+        return out
+    # beside the hash function: by key and copy; an answer that the hash function gave for such a request is void
+    listed = {(r["key"], r["copy"]): r for r in pa.ipc.open_stream(alike).read_all().to_pylist()}
+    wanted = list(zip(asked.column("key").to_pylist(), asked.column("copy").to_pylist(), strict=True))
+    rest = [r for r in out.to_pylist() if (r["key"], r["copy"]) not in listed]
+    return pa.Table.from_pylist(rest + [listed[w] for w in wanted if w in listed], schema=_LOCATED)
 
 
 def lookup(keys: DataFrame, index: DataFrame, buckets: int, *, key: str = "doc_id") -> DataFrame:
@@ -315,28 +333,26 @@ def lookup(keys: DataFrame, index: DataFrame, buckets: int, *, key: str = "doc_i
     return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_answer, "key long, copy long, shard int, start long, length long")
 
 
-def _read(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths: dict[int, tuple[str, int]] = shared.value
-        reader, at = None, None
-        for batch in batches:
-            out = []
-            for key, copy, shard, start, length in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if shard != at:
-                    if reader:
-                        reader.close()
-                    reader, at = ShardReader(paths[shard][0]), shard
-                ids = reader.ids(start, length)
-                out.append((key, copy, shard, paths[shard][1] + start, len(ids), zlib.crc32(ids.tobytes())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "copy", "shard", "start", "n_tokens", "ids_crc32"])
-
-    return run
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reader, at = None, None
+    for batch in batches:
+        out = []
+        for key, copy, shard, start, length, path, base in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            if path != at:
+                if reader:
+                    reader.close()
+                reader, at = ShardReader(path), path
+            ids = reader.ids(start, length)
+            out.append((key, copy, shard, base + start, len(ids), zlib.crc32(ids.tobytes())))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "copy", "shard", "start", "n_tokens", "ids_crc32"])
+    if reader:
+        reader.close()
 
 
 def read_records(located: DataFrame, shards: Shards) -> DataFrame:
     """Read the located records from their files: the ids before each, their number, and their checksum."""
-    paths = {r["shard"]: (r["path"], r["base"]) for r in shards.rows}
-    dealt = located.repartition(max(1, len(paths)), "shard", F.floor(F.col("start") / F.lit(1 << 20))).sortWithinPartitions("shard", "start")
-    shared = shards.spark.sparkContext.broadcast(paths)  # one entry a shard; their number is a parameter
-    return dealt.mapInArrow(_read(shared), "key long, copy long, shard int, start long, n_tokens long, ids_crc32 long")
+    dealt = located.repartition(max(1, len(shards.rows)), "shard", F.floor(F.col("start") / F.lit(1 << 20))).sortWithinPartitions("shard", "start")
+    # the manifest is broadcast only if it is below the session's threshold
+    named = dealt.join(shards.frame().select("shard", "path", "base"), "shard").select("key", "copy", "shard", "start", "length", "path", "base")
+    return named.mapInArrow(_read, "key long, copy long, shard int, start long, n_tokens long, ids_crc32 long")

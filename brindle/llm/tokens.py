@@ -59,7 +59,8 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library makes one id of such a string wherever it stands: texts that hold one go to it whole
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops, self.cap = drops_white_space, cap
         # between new chunks: a line end, or where white space has no id a control character between spaces
         self.mark, self.glue = (b"\x00", b" \x00 ") if drops_white_space else (b"\n", b"\n")
@@ -165,10 +166,10 @@ class ChunkEncoder:
         if not texts.null_count == 0:
             size = size * texts.is_valid().to_numpy(zero_copy_only=False)
         strange = np.zeros(len(texts), dtype=bool)
-        if not self.drops:
-            raw = data.tobytes()
-            if any(s in raw for s in _RARE_SPACES):
-                strange = np.array([any(s in raw[a : a + n] for s in _RARE_SPACES) for a, n in zip(offsets[:-1].tolist(), size.tolist(), strict=True)], dtype=bool)
+        raw = data.tobytes()
+        rare = [s for s in (self.added if self.drops else self.added + _RARE_SPACES) if s in raw]
+        if rare:
+            strange = np.array([any(s in raw[a : a + n] for s in rare) for a, n in zip(offsets[:-1].tolist(), size.tolist(), strict=True)], dtype=bool)
         usual = np.flatnonzero((size > 0) & ~strange)
         counts, ids = np.zeros(len(texts), dtype=np.int64), np.zeros(0, dtype=np.uint32)
         if len(usual):
