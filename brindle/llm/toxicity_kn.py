@@ -1,7 +1,7 @@
 """Operator 5: toxicity by class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary text, give each expression (a run of letters, digits and marks between
-spaces) the probability of its characters. The highest order is counted in each class; all lower orders are
+spaces) the probability of its characters, spelled as the bytes of UTF-8, so every script has all its characters. The highest order is counted in each class; all lower orders are
 continuation counts of both classes together, so expressions that a class has rarely or never seen are spelled
 from shared backoff counts and get nearly the same probability from both. The log-likelihoods are normalised by
 length; a document is judged by its mean ratio and by the ratios of its most toxic expressions, so a few words
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import Memo, bare_word, fold, slices, stored, texts_of
 
-ORDER, DISCOUNT, BOUNDARY = 6, 0.75, 1
+#: No byte of UTF-8 is 255.
+ORDER, DISCOUNT, BOUNDARY = 6, 0.75, 255
 FEATURES = 6
 
 
@@ -36,28 +37,17 @@ def expressions(text: str) -> list[str]:
     return text.lower().split()
 
 
-def codes(words: list[str], alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters as small numbers, each word between boundaries: ORDER-1 before it, one after it; and the lengths with the latter."""
-    bare = [bare_word(w) for w in words]
+def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words, each word between boundaries: ORDER-1 before it, one after it; and the lengths with the latter."""
+    bare = [bare_word(w).encode("utf-8", "surrogatepass") for w in words]
+    before, after = bytes([BOUNDARY]) * (ORDER - 1), bytes([BOUNDARY])
     lengths = np.fromiter(map(len, bare), dtype=np.int64, count=len(bare)) + 1
-    raw = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    table = np.full(0x110000 if len(raw) and raw.max() > 0xFFFF else 0x10000, 2, dtype=np.uint8)
-    for c, k in alphabet.items():
-        if ord(c) < len(table):
-            table[ord(c)] = k
-    out = np.full(int(lengths.sum()) + len(bare) * (ORDER - 1), BOUNDARY, dtype=np.uint8)
-    ends = np.cumsum(lengths + ORDER - 1)
-    where = np.ones(len(out), dtype=bool)
-    where[ends - 1] = False
-    begin = ends - lengths - (ORDER - 1)
-    for k in range(ORDER - 1):
-        where[begin + k] = False
-    out[where] = table[raw]
-    return out, lengths
+    joined = before + (after + before).join(bare) + after if bare else b""
+    return np.frombuffer(joined, dtype=np.uint8), lengths
 
 
 def grams(chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each character after the first boundaries: it and the ORDER-1 before it, packed into 64 bits, the newest lowest."""
+    """For each byte after the first boundaries: it and the ORDER-1 before it, packed into 64 bits, the newest lowest."""
     n = int(lengths.sum())
     ends = np.cumsum(lengths)
     at = np.arange(n) + np.repeat(np.arange(1, len(lengths) + 1) * (ORDER - 1), lengths)
@@ -78,16 +68,15 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[n
 
 @dataclass
 class Models:
-    """alphabet; of each lower order its n-grams' own part and its contexts' backoff weight; of each class the same for the highest."""
+    """Of each lower order its n-grams' own part and its contexts' backoff weight; of each class the same for the highest."""
 
-    alphabet: dict[str, int]
     lower: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     top: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     weights: np.ndarray | None = None
 
     def log_ratio(self, words: list[str]) -> np.ndarray:
-        """Columns: log p(word | toxic) - log p(word | ordinary), and the number of characters, its end counted."""
-        chars, lengths = codes(words, self.alphabet)
+        """Columns: log p(word | toxic) - log p(word | ordinary), and the number of bytes, its end counted."""
+        chars, lengths = codes(words)
         g = grams(chars, lengths)
         unique, back = np.unique(g, return_inverse=True)
         p = np.full(len(unique), 1.0 / 256)
@@ -116,13 +105,9 @@ def _shares(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def fit_models(ordinary: Counter, toxic: Counter) -> Models:
     """Kneser-Ney models from word counts of the two classes."""
-    letters = Counter()
-    for w in {*ordinary, *toxic}:
-        letters.update(w)
-    alphabet = {c: k for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:250], 3)}
     by_class = []
     for words in (ordinary, toxic):
-        chars, lengths = codes(list(words), alphabet)
+        chars, lengths = codes(list(words))
         g = grams(chars, lengths)
         n = np.repeat(np.fromiter(words.values(), dtype=float, count=len(words)), lengths)
         keys, at = np.unique(g, return_inverse=True)
@@ -133,7 +118,7 @@ def fit_models(ordinary: Counter, toxic: Counter) -> Models:
         kinds_below, counts = np.unique(kinds & np.uint64((1 << 8 * order) - 1), return_counts=True)  # how many characters go before it
         lower.append(_shares(kinds_below, counts.astype(float)))
         kinds = kinds_below
-    return Models(alphabet, lower[::-1], [_shares(*x) for x in by_class])
+    return Models(lower[::-1], [_shares(*x) for x in by_class])
 
 
 #: Ratios above this tell no more.
@@ -141,7 +126,7 @@ _MOST = 14.0
 
 
 def features(ratios: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of each document: constant, mean ratio a character, its three most toxic expressions' ratios, log of its length."""
+    """Of each document: constant, mean ratio a byte, its three most toxic expressions' ratios, log of its length."""
     out = np.zeros((len(counts), FEATURES))
     out[:, 0] = 1
     ends = np.cumsum(counts)
@@ -178,9 +163,10 @@ def _document_features(models: Models, words: list[list[str]], memo: Memo) -> np
     return features(values, np.array([len(x) for x in words], dtype=np.int64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 2000, ordinary_rows: int = 3000, folds: int = 3) -> Models:
+def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 2000, ordinary_rows: int = 3000, sample_bytes: int = 64_000_000, folds: int = 3) -> Models:
     """Learn from labelled rows where `learn` holds: at most about toxic_rows and ordinary_rows of them, chosen by a
-    hash of the key at a rate that the class sizes set. The logistic function is fitted on each fold's rows as the
+    hash of the key at a rate that the class sizes set; fewer if their texts (rows with equal keys and texts count
+    once) have more than sample_bytes. The logistic function is fitted on each fold's rows as the
     models of the other folds see them; the models returned know all folds."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     marks = marks.where(learn)
@@ -189,12 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id
     if not n1 or not n0:
         w = np.zeros(FEATURES)
         w[0] = 30.0 if n1 else -30.0
-        return Models({}, [], [], w)
+        return Models([], [], w)
     dice = F.pmod(F.xxhash64(F.lit("toxicity"), "k"), F.lit(1_000_000)) / 1_000_000
     chosen = marks.where(F.when(F.col("y") == 1, dice < toxic_rows / n1).otherwise(dice < ordinary_rows / n0))
     chosen = stored(chosen, "labels")
-    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")  # a sample of bounded size
-    rows = [(hash_of(r["k"]) % folds, r["y"], expressions(r["t"] or "")) for r in picked.collect()]
+    # the sample's keys are bounded; rows with one of them may be many, or long
+    picked = stored(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").distinct(), "sample")
+    size = picked.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    if size > sample_bytes:
+        picked = picked.where(F.pmod(F.xxhash64(F.lit("bytes"), "k", "t"), F.lit(1_000_000)) < int(1_000_000 * sample_bytes / size))
+    rows = [(hash_of(r["k"]) % folds, r["y"], expressions(r["t"] or "")) for r in picked.orderBy("k", "t").collect()]
     words = [[Counter(), Counter()] for _ in range(folds)]
     for f, y, w in rows:
         words[f][y].update(map(bare_word, w))
@@ -208,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id
             x.append(_document_features(models, [r[2] for r in some], Memo(models.log_ratio)))
             y += [r[1] for r in some]
     if not y:
-        return Models({}, [], [], np.array([np.log(n1 / n0)] + [0.0] * (FEATURES - 1)))
+        return Models([], [], np.array([np.log(n1 / n0)] + [0.0] * (FEATURES - 1)))
     y = np.array(y, dtype=float)
     drawn, true = np.array([(y == 0).sum(), y.sum()]), np.array([n0, n1], dtype=float)
     weight = np.where(y == 1, true[1] / max(drawn[1], 1), true[0] / max(drawn[0], 1)) * len(y) / true.sum()
