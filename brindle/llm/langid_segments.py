@@ -5,7 +5,7 @@ probability is the sum over all its segmentations into pieces of the product of
 forward algorithm; a text's is the product over its words. Piece probabilities are fitted by
 expectation-maximisation on the word counts of a bounded sample of labelled rows of each language
 (`rows_per_language`); scoring covers all rows and whole texts. Characters outside the vocabulary are one piece
-for each byte. Words of over 48 characters are cut there into parts for the lattice.
+for each byte. Sums are kept as logarithms, so words of any length are scored whole.
 
 Defined results: `und` with score 0 if the text is null or has no letter; ties go to the first language in
 order of name; rows with a null language are not learned from; with nothing to learn from every text is `und`;
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import Memo, bare_word, grouped_sum, slices, stored, texts_of
 
-LONGEST, SPACE, SCALE, FLOOR = 48, "▁", 2.0**12, 1e-9
+SPACE, FLOOR = "▁", 1e-9
+#: Characters of the words whose lattices are made at once.
+_CHARS = 20_000
 
 
 def read_pieces(path: str) -> dict[str, int]:
@@ -51,10 +53,6 @@ def prefixes(pieces: dict[str, int]) -> dict[str, int]:
     return out | pieces
 
 
-def parts(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
-
-
 def lattice(words: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All edges (word, from, to, piece) of the segmentation lattices; positions count characters after the word mark.
     known: what `prefixes` gives."""
@@ -84,48 +82,64 @@ def lattice(words: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.nda
     return tuple(np.array(x, dtype=np.int64) for x in (word, begin, end, piece))
 
 
-def _weights(piece: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return np.where(piece >= 0, p[np.maximum(piece, 0)], p[0] ** np.maximum(-piece, 1))
+def edge_logs(piece: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Log-probability of each edge (rows) in each language (columns of log_p); a negative piece is that many bytes."""
+    return np.where(piece[:, None] >= 0, log_p[np.maximum(piece, 0)], log_p[0] * np.maximum(-piece, 1)[:, None])
+
+
+def _sums(edges, logs: np.ndarray, lengths: np.ndarray, backward: bool) -> np.ndarray:
+    """Log-sums over all segmentations up to (or, backward, from) each position of each word; the words' positions stand
+    one after the other, lengths[w] + 1 of them. Position after position, for all words and languages at once."""
+    word, begin, end, _ = edges
+    first = np.cumsum(lengths + 1) - (lengths + 1)
+    out = np.full((int((lengths + 1).sum()), logs.shape[1]), -np.inf)
+    out[first + lengths if backward else first] = 0.0
+    target, source = (begin, end) if backward else (end, begin)
+    order = np.lexsort((word, target))
+    step, own = target[order], word[order]
+    to, come = first[own] + step, first[own] + source[order]
+    fresh = np.ones(len(order), dtype=bool)  # the first edge into a position
+    fresh[1:] = to[1:] != to[:-1]
+    width = int(lengths.max()) + 1 if len(lengths) else 0
+    cuts = np.searchsorted(step, np.arange(width + 1))
+    for t in range(width - 1, -1, -1) if backward else range(width):
+        a, b = cuts[t], cuts[t + 1]
+        if a == b:
+            continue
+        values = out[come[a:b]] + logs[order[a:b]]
+        at = np.flatnonzero(fresh[a:b])
+        most = np.maximum.reduceat(values, at, axis=0)
+        many = np.diff(np.append(at, b - a))
+        out[to[a:b][at]] = most + np.log(np.add.reduceat(np.exp(values - np.repeat(most, many, axis=0)), at, axis=0))
+    return out
 
 
-def forward(edges, n_words: int, p: np.ndarray, order=None, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums of each word and position, times SCALE for each character; and the edges' scaled weights."""
-    word, begin, end, piece = edges
-    width = int(end.max()) + 1 if len(end) else 1
-    w = _weights(piece, p) * SCALE ** (end - begin)
-    a = np.zeros((n_words, width))
-    a[:, 0] = 1
-    order = np.argsort(end, kind="stable") if order is None else order
-    cuts = np.searchsorted(end[order], np.arange(width + 1))
-    for t in range(1, width):
-        e = order[cuts[t] : cuts[t + 1]]
-        if len(e):
-            a[:, t] = np.bincount(word[e], a[word[e], begin[e]] * w[e], minlength=n_words)
-    return a, w
-
-
-def log_probability(edges, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Natural log of each word's probability; lengths count the word mark."""
-    a, _ = forward(edges, len(lengths), p)
-    return np.log(np.maximum(a[np.arange(len(lengths)), lengths], 1e-300)) - lengths * np.log(SCALE)
-
-
-def expect(edges, lengths: np.ndarray, counts: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
-    """Expected uses of each piece over all segmentations of all words, weighted by the words' counts."""
+def log_probability(edges, lengths: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Natural log of each word's probability in each language; lengths count the word mark."""
+    sums = _sums(edges, edge_logs(edges[3], log_p), lengths, False)
+    return sums[np.cumsum(lengths + 1) - 1]
+
+
+def expect(edges, lengths: np.ndarray, counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece of one language over all segmentations of all words, weighted by the words' counts."""
     word, begin, end, piece = edges
-    n, width = len(lengths), int(end.max()) + 1 if len(end) else 1
-    a, w = forward(edges, n, p)
-    b = np.zeros((n, width))
-    b[np.arange(n), lengths] = 1
-    order = np.argsort(begin, kind="stable")
-    cuts = np.searchsorted(begin[order], np.arange(width + 1))
-    for t in range(width - 1, -1, -1):
-        e = order[cuts[t] : cuts[t + 1]]
-        if len(e):
-            b[:, t] += np.bincount(word[e], b[word[e], end[e]] * w[e], minlength=n)
-    total = np.maximum(a[np.arange(n), lengths], 1e-300)
-    use = a[word, begin] * w * b[word, end] / total[word] * counts[word]
-    return np.bincount(np.maximum(piece, 0), use * np.where(piece < 0, -piece, 1), minlength=size)
+    logs = edge_logs(piece, log_p)
+    before, after = _sums(edges, logs, lengths, False)[:, 0], _sums(edges, logs, lengths, True)[:, 0]
+    first = np.cumsum(lengths + 1) - (lengths + 1)
+    use = np.exp(before[first[word] + begin] + logs[:, 0] + after[first[word] + end] - before[first + lengths][word]) * counts[word]
+    return np.bincount(np.maximum(piece, 0), use * np.where(piece < 0, -piece, 1), minlength=len(log_p))
+
+
+def portions(words: list[str]) -> Iterator[slice]:
+    """Runs of the words of about _CHARS characters; a longer word stands alone, never cut."""
+    at = size = 0
+    for k, w in enumerate(words):
+        if size and size + len(w) > _CHARS:
+            yield slice(at, k)
+            at, size = k, 0
+        size += len(w) + 1
+    if at < len(words):
+        yield slice(at, len(words))
 
 
 @dataclass
@@ -138,20 +152,15 @@ class Languages:
 
     def scorer(self):
         known = prefixes(read_pieces(self.pieces_path))
+        log_p = np.log(self.probability).T.copy()
 
         def compute(words: list[str]) -> np.ndarray:
-            split = [parts(w) for w in words]
-            flat = [x for s in split for x in s]
-            out = np.zeros((len(flat), len(self.names)))
-            for at in range(0, len(flat), 20_000):
-                some = flat[at : at + 20_000]
-                edges, lengths = lattice(some, known), np.array([len(x) + 1 for x in some], dtype=np.int64)
-                for k, p in enumerate(self.probability):
-                    out[at : at + len(some), k] = log_probability(edges, lengths, p)
-            n = np.array([len(s) for s in split], dtype=np.int64)
-            sums = np.add.reduceat(out, np.cumsum(n) - n, axis=0) if len(out) else out
-            real = np.array([bool(w) for w in words], dtype=float)[:, None]
-            return np.concatenate([sums * real, real], axis=1)  # what has no letter counts for nothing
+            out = np.zeros((len(words), len(self.names) + 1))
+            for some in portions(words):
+                own = words[some]
+                out[some, :-1] = log_probability(lattice(own, known), np.array([len(w) + 1 for w in own], dtype=np.int64), log_p)
+                out[some, -1] = [bool(w) for w in own]
+            return out * out[:, -1:]  # what has no letter counts for nothing
 
         return compute
 
@@ -163,16 +172,12 @@ def fit_counts(counts: dict[str, Counter], pieces_path: str, *, rounds: int = 4)
     names = sorted(counts)
     table = np.zeros((len(names), size))
     for k, name in enumerate(names):
-        words = Counter()
-        for w, n in counts[name].items():
-            for x in parts(w):
-                words[x] += n
-        listed = sorted(words)
-        n, lengths = np.array([words[w] for w in listed], dtype=float), np.array([len(w) + 1 for w in listed], dtype=np.int64)
-        edges = lattice(listed, known)
+        listed = sorted(counts[name])
+        some = [(lattice(listed[x], known), np.array([len(w) + 1 for w in listed[x]], dtype=np.int64), np.array([counts[name][w] for w in listed[x]], dtype=float)) for x in portions(listed)]
         p = np.full(size, 1 / size)
         for _ in range(rounds):
-            uses = expect(edges, lengths, n, p, size) + 0.01
+            log_p = np.log(p)[:, None]
+            uses = sum(expect(edges, lengths, n, log_p) for edges, lengths, n in some) + 0.01
             p = uses / uses.sum()
         table[k] = np.maximum(p, FLOOR)
     return Languages(names, pieces_path, table)
