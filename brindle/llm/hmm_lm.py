@@ -1,14 +1,17 @@
 """Operator 8: a hidden Markov language model over words.
 
-Word counts come from all training rows. The most frequent words are symbols of their own; every other word is
-one of a fixed number of classes by its ending, and keeps its own share of its class. Baum-Welch: each
-partition gathers expected counts of starts, transitions and symbols over all its training texts, the counts
+Word counts come from all training rows. The most frequent words are symbols of their own, as many as
+`own_growth` times the root of the number of distinct words, so the model grows with the corpus; every other word
+is one of a fixed number of classes by its ending, and keeps its own share of its class. Baum-Welch: each
+partition gathers expected counts of starts, transitions and symbols over all its whole training texts, the counts
 are summed over partitions in two rounds, and the states are estimated anew. The first states come from a
-bounded sample (`first_rows`). The scaled forward recursion then gives the exact likelihood of every whole text.
+bounded sample (`first_rows` texts, about `first_tokens` tokens). The scaled forward recursion then gives the exact
+likelihood of every whole text.
 
-Words that occur in at least one in `known_words` training tokens can be no more than `known_words`; those
-counts go to the workers. All rarer words are counted exactly by a join on the word, in which no word is
-frequent. Training uses runs of up to `run` tokens of a text as sequences, covering it; scoring never cuts.
+The symbols, and words that occur in at least one in `known_words` training tokens (no more than `known_words` can),
+go to the workers. All rarer words are counted exactly by a join on the word, in which no word is frequent. Texts
+are trained on and scored whole; of a very long one the forward recursion is repeated span by span, so that the
+backward recursion needs the memory of one span.
 
 Defined results: null text is empty (its end alone); with no training row every probability is that of the one
 unseen token (score and base 0); repeated rows are scored each; an empty table gives no rows; a null key is
@@ -36,13 +39,13 @@ END = b" "  # no word holds a space
 @dataclass
 class Settings:
     states: int = 16
-    own_symbols: int = 16_000
+    own_growth: float = 20.0
     classes: int = 500
     known_words: int = 400_000
     passes: int = 2
     first_rows: int = 1200
+    first_tokens: int = 400_000
     first_passes: int = 15
-    run: int = 128
     flush: int = 150_000
 
 
@@ -91,6 +94,11 @@ class Vocabulary:
     class_total: np.ndarray  # of the words that are not: tokens and distinct words in each class
     class_distinct: np.ndarray
 
+    @property
+    def kind(self) -> str:
+        """How a symbol is written."""
+        return "<u2" if self.n_own + self.settings.classes < 1 << 16 else "<u4"
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
@@ -111,12 +119,22 @@ def class_column(word: Column, classes: int) -> Column:
 
 def build_vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    often = lambda most: F.col("c") * most >= total  # noqa: E731  at most `most` words can be so frequent
-    listed = counts.where(often(s.known_words)).select(F.col("word").cast("binary").alias("word"), "c").orderBy(F.desc("c"), "word").toArrow()
+    wanted = int(np.ceil(s.own_growth * distinct**0.5))
+    # words by sixteenths of a doubling of their count: a few hundred rows
+    level = F.floor(F.log2("c") * 16)
+    lowest, held = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if held >= wanted or held + r["n"] > 4 * wanted:
+            break
+        lowest, held = r["level"], held + r["n"]
+    frequent = F.col("c") * s.known_words >= total  # at most known_words words
+    listed = counts.where(frequent if lowest is None else frequent | (level >= lowest)).select(F.col("word").cast("binary").alias("word"), "c").orderBy(F.desc("c"), "word").toArrow()
     words, c = listed.column("word").to_pylist(), listed.column("c").to_numpy().astype(float)
-    n_own = int((c * s.own_symbols >= total).sum())  # the first, as the most frequent come first
+    least = c[min(wanted, held) - 1] if held else np.inf  # words of equal counts are treated alike
+    n_own = int((c >= least).sum())  # the first, as the most frequent come first
     own = np.where(np.arange(len(c)) < n_own, np.arange(len(c)), -1)
-    per_class = counts.where(~often(s.own_symbols)).groupBy(class_column(F.col("word"), s.classes).alias("k")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("d"))
+    rest = counts.where(F.col("c") < float(least)) if n_own else counts
+    per_class = rest.groupBy(class_column(F.col("word"), s.classes).alias("k")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("d"))
     class_total, class_distinct = np.zeros(s.classes), np.zeros(s.classes)
     for r in per_class.collect():
         class_total[r["k"]], class_distinct[r["k"]] = r["t"], r["d"]
@@ -148,7 +166,7 @@ def _encode(shared):
             rare_words = [flat[k] for k in rare.tolist()]
             got[rare, 0] = v.n_own + np.fromiter((word_class(w, classes) for w in rare_words), dtype=np.int64, count=len(rare))
             ends = np.cumsum(n)
-            symbols = got[:, 0].astype("<u2")
+            symbols = got[:, 0].astype(v.kind)
             sums = grouped_sum(np.concatenate([got[:, 1:], seen[:, None]], axis=1), n)
             cuts = np.searchsorted(rare, np.concatenate([[0], ends])).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(cuts), pa.array(rare_words, type=pa.binary()).cast(pa.string()))
@@ -182,82 +200,128 @@ class Model:
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def expected_counts(m: Model, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch over sequences of symbols, all of a batch side by side. Returns counts of starts, moves and symbols."""
-    states, f = len(m.start), np.float32
-    runs = sorted(runs, key=len, reverse=True)
-    n = np.array([len(r) for r in runs])
-    width, many = int(n[0]), len(runs)
-    active = np.searchsorted(-n, -np.arange(1, width + 1), side="right")  # how many are longer than t
-    table = np.zeros((width, many), dtype=np.int64)
-    for k, r in enumerate(runs):
-        table[: len(r), k] = r
-    emit, move = m.emit.astype(f), m.move.astype(f)
-    b = emit[table]
-    alpha = np.empty((width, many, states), dtype=f)
-    scale = np.ones((width, many, 1), dtype=f)
-    a = m.start.astype(f) * b[0]
-    for t in range(width):
-        k = active[t]
-        if t:
-            a = (alpha[t - 1, :k] @ move) * b[t, :k]
-        c = np.maximum(a.sum(axis=1, keepdims=True), 1e-30)
-        alpha[t, :k] = a / c
-        scale[t, :k] = c
-    moves = np.zeros((states, states))
-    gamma = np.zeros((width, many, states), dtype=f)
-    beta = np.ones((many, states), dtype=f)
-    for t in range(width - 1, -1, -1):
-        k = active[t]
-        gamma[t, :k] = alpha[t, :k] * beta[:k]
-        if t:
-            right = beta[:k] * b[t, :k] / scale[t, :k]
-            moves += (alpha[t - 1, :k].T @ right) * m.move
-            beta[:k] = right @ move.T
-    flat, g = table.ravel(), gamma.reshape(-1, states)
-    order = np.argsort(flat, kind="stable")
-    kinds, first = np.unique(flat[order], return_index=True)
-    emits = np.zeros(m.emit.shape)
-    emits[kinds] = np.add.reduceat(g[order], first, axis=0)
-    return gamma[0].sum(axis=0).astype(float), moves, emits
-
-
-def cut_runs(symbols: np.ndarray, run: int) -> list[np.ndarray]:
-    return [symbols[k : k + run] for k in range(0, len(symbols), run)]
-
+class Counts:
+    """Expected counts of starts, moves and symbols by states."""
+
+    def __init__(self, m: Model):
+        self.start, self.move, self.emit = np.zeros(m.start.shape), np.zeros(m.move.shape), np.zeros(m.emit.shape)
+
+
+class _Side:
+    """Whole sequences of symbols side by side, the longest first: the symbols of time t stand together."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        texts = sorted(texts, key=len, reverse=True)
+        n = np.array([len(t) for t in texts], dtype=np.int64)
+        self.width = int(n[0]) if len(n) else 0
+        self.active = np.searchsorted(-n, -np.arange(1, self.width + 1), side="right")  # how many are longer than t
+        self.first = np.concatenate([[0], np.cumsum(self.active)])
+        time = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.symbols = np.empty(len(time), dtype=np.int64)
+        self.symbols[self.first[time] + np.repeat(np.arange(len(texts)), n)] = np.concatenate(texts) if texts else []
+
+    def spans(self, most: int) -> list[tuple[int, int]]:
+        """Cuts of the time, each with at most about so many symbols."""
+        out, at = [], 0
+        while at < self.width:
+            end = max(at + 1, int(np.searchsorted(self.first, self.first[at] + most, side="right")) - 1)
+            out.append((at, end))
+            at = end
+        return out
+
+
+def _forward_span(side: _Side, begin: int, end: int, a, start, move, emit):
+    """Scaled forward values of the times begin..end-1, their scales and symbol probabilities; a: those before, if any."""
+    base, k = side.first[begin], 0
+    b = emit[side.symbols[base : side.first[end]]]
+    alpha, scale = np.empty_like(b), np.empty((len(b), 1), dtype=b.dtype)
+    for t in range(begin, end):
+        at, k = side.first[t] - base, side.active[t]
+        now = start * b[at : at + k] if a is None else (a[:k] @ move) * b[at : at + k]
+        c = np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
+        np.divide(now, c, out=alpha[at : at + k])
+        scale[at : at + k] = c
+        a = alpha[at : at + k]
+    return alpha, scale, b
+
+
+def expected_counts(m: Model, texts: list[np.ndarray], total: Counts, *, span: int = 400_000) -> None:
+    """Adds Baum-Welch's expected counts over whole sequences of symbols to total, all of a batch side by side."""
+    f = np.float32
+    side = _Side([t for t in texts if len(t)])
+    if not side.width:
+        return
+    start, move, emit = m.start.astype(f), m.move.astype(f), m.emit.astype(f)
+    spans, before, held = side.spans(span), [], None
+    a = None
+    for begin, end in spans:  # only the values before each span are kept, and all of the last
+        before.append(a)
+        held = _forward_span(side, begin, end, a, start, move, emit)
+        a = held[0][side.first[end - 1] - side.first[begin] :].copy()
+    beta = np.ones((int(side.active[0]), len(start)), dtype=f)
+    moves = np.zeros(move.shape)
+    for (begin, end), a in zip(reversed(spans), reversed(before), strict=True):
+        alpha, scale, b = held or _forward_span(side, begin, end, a, start, move, emit)
+        held = None
+        base = side.first[begin]
+        gamma = np.empty_like(alpha)
+        for t in range(end - 1, begin - 1, -1):
+            at, k = side.first[t] - base, side.active[t]
+            np.multiply(alpha[at : at + k], beta[:k], out=gamma[at : at + k])
+            if t:
+                right = beta[:k] * b[at : at + k] / scale[at : at + k]
+                left = a[:k] if t == begin else alpha[side.first[t - 1] - base :][:k]
+                moves += left.T @ right
+                beta[:k] = right @ move.T
+        flat = side.symbols[base : side.first[end]]
+        order = np.argsort(flat, kind="stable")
+        kinds, first = np.unique(flat[order], return_index=True)
+        total.emit[kinds] += np.add.reduceat(gamma[order], first, axis=0)
+        if not begin:
+            total.start += gamma[: side.active[0]].sum(axis=0)
+    total.move += moves * m.move
+
+
+def _batches_of_texts(texts: Iterator[np.ndarray], most: int = 200_000, hold: int = 2_000_000) -> Iterator[list[np.ndarray]]:
+    """Whole texts, those of like lengths together."""
+
+    def dealt(held: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        out, size = [], 0
+        for t in sorted(held, key=len):
+            out.append(t)
+            size += len(t)
+            if size >= most:
+                yield out
+                out, size = [], 0
+        if out:
+            yield out
 
-def _batches_of_runs(texts: Iterator[np.ndarray], run: int, most: int = 40_000) -> Iterator[list[np.ndarray]]:
     held, size = [], 0
     for t in texts:
-        for r in cut_runs(t, run):
-            held.append(r)
-            size += len(r)
-            if size >= most:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+        held.append(t)
+        size += len(t)
+        if size >= hold:
+            yield from dealt(held)
+            held, size = [], 0
+    yield from dealt(held)
 
 
 _PART = pa.schema([("state", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
-def _gather(shared, run_length: int):
+def _gather(shared, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m: Model = shared.value
-        states = len(m.start)
-        total = np.zeros((states, 1 + states + len(m.emit)))
-        texts = (np.frombuffer(x, "<u2").astype(np.int64) for b in batches for x in b.column("symbols").to_pylist())
-        for runs in _batches_of_runs(texts, run_length):
-            start, moves, emits = expected_counts(m, runs)
-            total[:, 0] += start
-            total[:, 1 : 1 + states] += moves
-            total[:, 1 + states :] += emits.T
-        if total.any():
+        states, total = len(m.start), Counts(m)
+        texts = (np.frombuffer(x, kind) for b in slices(batches, "symbols") for x in b.column("symbols").to_pylist())
+        for some in _batches_of_texts(texts):
+            expected_counts(m, some, total)
+        if total.start.any():
             part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(states), type=pa.int32()), pa.array([part] * states, type=pa.int32()), pa.array([zlib.compress(row.astype("<f4").tobytes(), 1) for row in total], type=pa.binary())], schema=_PART)
+            rows = np.concatenate([total.start[:, None], total.move, total.emit.T], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(states), type=pa.int32()), pa.array([part] * states, type=pa.int32()), pa.array([zlib.compress(row.astype("<f4").tobytes(), 1) for row in rows], type=pa.binary())], schema=_PART)
 
     return run
 
@@ -269,11 +333,11 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column(0)[0].as_py()], type=pa.int32()), pa.array([table.column(1)[0].as_py()], type=pa.int32()), pa.array([zlib.compress(total.astype("<f4").tobytes(), 1)], type=pa.binary())], schema=_PART)
 
 
-def train_pass(encoded: DataFrame, m: Model, frequency: np.ndarray, run_length: int) -> Model:
+def train_pass(encoded: DataFrame, m: Model, frequency: np.ndarray, kind: str) -> Model:
     """One round of Baum-Welch over all training rows: partitions' counts are added in groups of 32, then all."""
     shared = encoded.sparkSession.sparkContext.broadcast(m)
     schema = "state int, part int, counts binary"
-    parts = encoded.where("learn").select("symbols").mapInArrow(_gather(shared, run_length), schema)
+    parts = encoded.where("learn").select("symbols").mapInArrow(_gather(shared, kind), schema)
     some = parts.withColumn("part", F.floor(F.col("part") / 32).cast("int")).groupBy("state", "part").applyInArrow(_add, schema)
     rows = some.withColumn("part", F.lit(0)).groupBy("state", "part").applyInArrow(_add, schema).collect()  # one row a state
     states = len(m.start)
@@ -308,7 +372,7 @@ def log10_likelihood(m: Model, texts: list[np.ndarray]) -> np.ndarray:
 SCORED = "row long, key long, learn boolean, n_tokens long, n_known long, base double, share double, hmm double"
 
 
-def _forward(shared, most: int = 2_500_000):
+def _forward(shared, kind: str, most: int = 2_500_000):
     names = [x.split()[0] for x in SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +380,7 @@ def _forward(shared, most: int = 2_500_000):
 
         def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            logs = log10_likelihood(m, [np.frombuffer(x, "<u2").astype(np.int32) for x in t.column("symbols").to_pylist()])
+            logs = log10_likelihood(m, [np.frombuffer(x, kind) for x in t.column("symbols").to_pylist()])
             yield from t.drop_columns(["symbols"]).append_column("hmm", pa.array(logs)).select(names).to_batches()
 
         held, size = [], 0
@@ -348,18 +412,18 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
         # about first_rows texts, chosen by a hash; they only set out the states, all texts then train them
         texts_n = float(v.counts[v.known[END]]) if END in v.known else 1.0
         dice = F.pmod(F.xxhash64(F.lit("states"), "row"), F.lit(1_000_000)) / 1_000_000
-        first = [np.frombuffer(r["symbols"], "<u2").astype(np.int64) for r in encoded.where("learn").where(dice < s.first_rows / texts_n).select("symbols").collect()]
+        rate = min(s.first_rows / texts_n, s.first_tokens / v.total)
+        first = [np.frombuffer(r["symbols"], v.kind) for r in encoded.where("learn").where(dice < rate).select("symbols").collect()]
         for _ in range(s.first_passes if first else 0):
-            sums = None
-            for runs in _batches_of_runs(iter(first), s.run):
-                got = expected_counts(model, runs)
-                sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
-            model = Model.estimate(*sums, frequency)
+            sums = Counts(model)
+            for some in _batches_of_texts(iter(first)):
+                expected_counts(model, some, sums)
+            model = Model.estimate(sums.start, sums.move, sums.emit, frequency)
         for _ in range(s.passes):
-            model = train_pass(encoded, model, frequency, s.run)
+            model = train_pass(encoded, model, frequency, v.kind)
     shared_model = spark.sparkContext.broadcast(model)
     chosen = encoded.select("row", "key", "learn", "symbols", "n_tokens", "n_known", "base", "share")
-    scored = chosen.mapInArrow(_forward(shared_model), SCORED)
+    scored = chosen.mapInArrow(_forward(shared_model, v.kind), SCORED)
     rare = encoded.select("row", F.explode("words").alias("word"))
     width = F.lit(float(v.total + 0.5 * (v.distinct + 1)))
     classes = F.array(*[F.lit(float(a + 0.5 * (b + 1))) for a, b in zip(v.class_total, v.class_distinct, strict=True)])
