@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import hmm_lm, langid_segments, lsi_decontam, simhash_ball, telephony, toxicity_kn
 from brindle.llm.common import fold, read_table
+from brindle.llm.queries import op9_telephony
 from brindle.llm.tokens import vocabulary_path
 
 SF = "/root/testdata/sf0.01"
@@ -49,7 +50,7 @@ def test_kneser_ney_sums_to_one():
     models = toxicity_kn.fit_models(Counter({"aba": 3, "abc": 1}), Counter({"aba": 1, "bad": 4}))
     for top in models.top:
         context = "^^^ab"
-        prefix, _ = toxicity_kn.codes(["ab"], models.alphabet)
+        prefix, _ = toxicity_kn.codes(["ab"])
         g = 0
         for c in prefix[-6:-1].tolist():
             g = g << 8 | c
@@ -63,6 +64,22 @@ def test_kneser_ney_sums_to_one():
         assert total == pytest.approx(1.0), context
 
 
+def test_scripts_with_many_characters():
+    # toxic and ordinary words of rare characters, far more than 250 of them
+    ordinary = Counter({chr(0x4E00 + k) + chr(0x4E01 + k): 3 for k in range(0, 2000, 2)})
+    toxic = Counter({chr(0x6E00 + k) + chr(0x6E01 + k): 3 for k in range(0, 2000, 2)})
+    models = toxicity_kn.fit_models(ordinary, toxic)
+    ratios = models.log_ratio([chr(0x4E00 + 1990) + chr(0x4E01 + 1990), chr(0x6E00 + 1990) + chr(0x6E01 + 1990)])[:, 0]
+    assert ratios[0] < -1 and ratios[1] > 1
+
+
+def test_a_hot_key_is_learned_from_in_bounds(spark):
+    docs = spark.range(3000).select((F.col("id") % 10).alias("doc_id"), F.concat(F.lit("some words and "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    models = toxicity_kn.fit(docs, labels, learn=F.lit(True), sample_bytes=2000)
+    assert toxicity_kn.score(docs, models).count() == 3000
+
+
 # -- language -----------------------------------------------------------------------------------------------
 
 
@@ -78,12 +95,43 @@ def test_forward_sums_all_segmentations():
 
     words = ["abab", "a", "é", "aba", "bé"]
     edges = langid_segments.lattice(words, langid_segments.prefixes(pieces))
-    got = langid_segments.log_probability(edges, np.array([len(w) + 1 for w in words]), p)
-    assert got == pytest.approx([math.log(brute("▁" + w)) for w in words])
-    uses = langid_segments.expect(edges, np.array([len(w) + 1 for w in words]), np.ones(len(words)), p, 8)
+    lengths, log_p = np.array([len(w) + 1 for w in words]), np.log(np.stack([p, p[::-1]], axis=1))
+    got = langid_segments.log_probability(edges, lengths, log_p)
+    assert got[:, 0] == pytest.approx([math.log(brute("▁" + w)) for w in words])
+    p = p[::-1]
+    assert got[:, 1] == pytest.approx([math.log(brute("▁" + w)) for w in words])
+    uses = langid_segments.expect(edges, lengths, np.ones(len(words)), log_p[:, :1])
     assert uses.sum() > len(words)
 
 
+def test_long_words_are_scored_whole(tmp_path):
+    pieces = {"▁": 1, "a": 2, "b": 3, "ab": 4, "▁a": 5}
+    p = np.array([1e-9, 0.1, 0.2, 0.15, 0.2, 0.1])
+    word = "ab" * 5000 + "é" * 300  # its probability is far below the smallest float
+    want = [0.0]  # the same sum, position by position
+    text = "▁" + word
+    for k in range(1, len(text) + 1):
+        ways = [want[k - len(x)] + math.log(p[i]) for x, i in pieces.items() if text[max(0, k - len(x)) : k] == x]
+        if text[k - 1] not in pieces:
+            ways.append(want[k - 1] + 2 * math.log(p[0]))
+        most = max(ways)
+        want.append(most + math.log(sum(math.exp(w - most) for w in ways)))
+    got = langid_segments.log_probability(langid_segments.lattice([word], langid_segments.prefixes(pieces)), np.array([len(text)]), np.log(p)[:, None])
+    assert got[0, 0] == pytest.approx(want[-1])
+
+
+def test_unspaced_and_unseen_scripts():
+    from brindle.llm.langid_segments import _judge
+    from brindle.llm.common import Memo
+
+    counts = {"ja": Counter({"これは長い文章です" * 8: 3, "日本語の言葉を並べて書く" * 6: 2}), "en": Counter({"these": 3, "are": 4, "words": 5})}
+    model = langid_segments.fit_counts(counts, vocabulary_path(PIECES))
+    names, _ = _judge(model, Memo(model.scorer()), ["日本語の文章を長い言葉で書く" * 9, "these words are words", "ⴰ" * 400])
+    assert names[:2] == ["ja", "en"]
+    values = model.scorer()(["ⴰ" * 400])[0, :2]
+    assert np.isfinite(values).all() and values[0] != values[1]
+
+
 def test_language_held_out(spark):
     docs = read_table(spark, SF, "documents")
     model = langid_segments.fit(docs, vocabulary_path(PIECES), learn=fold("k", 4) != 2)
@@ -172,13 +220,43 @@ def test_forward_recursion_is_the_sum_over_paths():
                 p *= m.move[path[k - 1], path[k]] * m.emit[t[k], path[k]]
             total += p
         assert got == pytest.approx(math.log10(total))
-    start, moves, emits = hmm_lm.expected_counts(m, texts)
-    assert start.sum() == pytest.approx(3, rel=1e-4) and moves.sum() == pytest.approx(4, rel=1e-4) and emits.sum() == pytest.approx(7, rel=1e-4)
+    got = hmm_lm.Counts(m)
+    hmm_lm.expected_counts(m, texts, got)
+    want = hmm_lm.Counts(m)  # over all paths
+    for t in texts:
+        ways = []
+        for path in product(range(3), repeat=len(t)):
+            p = m.start[path[0]] * m.emit[t[0], path[0]]
+            for k in range(1, len(t)):
+                p *= m.move[path[k - 1], path[k]] * m.emit[t[k], path[k]]
+            ways.append((path, p))
+        whole = sum(p for _, p in ways)
+        for path, p in ways:
+            want.start[path[0]] += p / whole
+            for k, x in enumerate(path):
+                want.emit[t[k], x] += p / whole
+                if k:
+                    want.move[path[k - 1], x] += p / whole
+    for name in ("start", "move", "emit"):
+        assert getattr(got, name) == pytest.approx(getattr(want, name), rel=1e-4)
+
+
+def test_long_texts_are_trained_on_whole():
+    rng = np.random.default_rng(2)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    m = hmm_lm.Model(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((5, 3)), 0))
+    texts = [rng.integers(0, 5, n) for n in (5000, 700, 699, 3, 1)]
+    whole, spans = hmm_lm.Counts(m), hmm_lm.Counts(m)
+    hmm_lm.expected_counts(m, texts, whole)
+    hmm_lm.expected_counts(m, texts, spans, span=300)
+    assert whole.start.sum() == pytest.approx(5, rel=1e-3) and whole.move.sum() == pytest.approx(sum(map(len, texts)) - 5, rel=1e-3)
+    for name in ("start", "move", "emit"):
+        assert getattr(spans, name) == pytest.approx(getattr(whole, name), rel=1e-3)
 
 
 def test_language_model(spark):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").unionByName(odd_rows(spark).select("doc_id", "text"))
-    small = hmm_lm.Settings(known_words=200, own_symbols=50, classes=20, first_rows=100, flush=1000)
+    small = hmm_lm.Settings(known_words=200, own_growth=1.0, classes=20, first_rows=100, flush=1000)
     rows = hmm_lm.score(docs, fold("k", 5) != 1, settings=small).collect()
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert len(rows) == len(texts)
@@ -254,9 +332,38 @@ def test_containers_round_trip(spark):
     same = [r for r in rows if r["key"] == 5]
     assert same[0] == same[1]
     media = telephony.store_texts(odd_rows(spark)).withColumnRenamed("key", "doc_id")
+    for r in media.collect():  # the stored PCM is what a plain table look-up and the filter give
+        text = (dict(ODD).get(r["doc_id"]) or "").encode()
+        plain = text + b" " * (max(192, -(-len(text) // 192) * 192) - len(text))
+        assert r["pcm"] == telephony.resample(np.array([telephony.mulaw_table()[c] for c in plain]), 2, 1).astype("<i2").tobytes()
     assert telephony.decode_media(media).where("length(pcm) > 0").count() == len(ODD)
 
 
+def test_media_that_cannot_be_decoded(spark):
+    good = telephony.container(b"x" * 192, "mulaw")
+    bad = [None, b"", b"RIFF", b"not a file", good[:22], good[:20] + b"\x63" + good[21:], telephony.container(b"x" * 192, "adpcm", block=4), telephony.container(b"x", "alaw", rate=0)]
+    rows = spark.createDataFrame([(0, good), *enumerate(bad, 1)], "doc_id long, media binary")
+    got = {r["doc_id"]: r["pcm"] for r in telephony.decode_media(rows).collect()}
+    assert len(got[0]) == 4 * 192 and all(got[k] is None for k in range(1, len(bad) + 1))
+    empty = spark.createDataFrame([(1, telephony.container(b"", "alaw")), (2, telephony.container(b"x" * 100, "adpcm"))], "doc_id long, media binary")
+    assert [r["pcm"] for r in telephony.decode_media(empty).collect()] == [b"", b""]
+
+
+def test_media_query_by_plain_rules(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in op9_telephony(spark, sf).collect()}
+    rows = read_table(spark, sf, "documents").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        media = telephony.container(payload, "mulaw")
+        own = got[r["doc_id"]]
+        assert (own["n_bytes"], own["payload_bytes"], own["payload_sha256"], own["tail_crc32"], own["media_bytes"], own["media_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+
+
 # -- decontamination ----------------------------------------------------------------------------------------
 
 
