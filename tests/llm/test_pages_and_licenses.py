@@ -23,7 +23,7 @@ def test_main_text():
     assert html_tagpath.main_text(PAGE) == "A title First & bold text, with a comma. Second line, here. Unclosed, but fine. Yes. Short. One, two. Three, four."
 
 
-@pytest.mark.parametrize("page, text", [("", ""), ("no tags, only text.", "no tags, only text."), ("<p>cut <b>off, here", "cut off, here"), ("<body><p>a < b, and c > d.</p></body>", "a < b, and c > d."), ("<nav>menu</nav>", ""), ("<p>x&#233;&nbsp;y, z.</p>", "xé y, z."), ("<!-- <p>no</p> -->", ""), ("<p title='a>b'>yes, it is.</p>", "yes, it is.")])
+@pytest.mark.parametrize("page, text", [("", ""), ("no tags, only text.", "no tags, only text."), ("<p>cut <b>off, here", "cut off, here"), ("<body><p>a < b, and c > d.</p></body>", "a < b, and c > d."), ("<nav>menu</nav>", ""), ("<p>a, b.</p><a href='x", "a, b. <a href='x"), ("<p>x&#233;&nbsp;y, z.</p>", "xé y, z."), ("<!-- <p>no</p> -->", ""), ("<p title='a>b'>yes, it is.</p>", "yes, it is.")])
 def test_odd_pages(page, text):
     assert html_tagpath.main_text(page) == text
 
@@ -45,6 +45,48 @@ def test_the_whole_article(page, text):
     assert html_tagpath.main_text(page) == text.strip()
 
 
+BODY = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>Short end.</p>"
+BODY_TEXT = f"Title {LONG}{LONG}Short end."
+
+
+@pytest.mark.parametrize("wrapper", ['style="overflow:hidden"', 'data-hidden="false"', 'class="content no-sidebar"', 'class="promo-free"', 'id="post-comments-enabled"', "class=has-sidebar", "class='layout-with-navbar'", 'class="two-columns right-sidebar"', 'class="modal-content"', 'class="comments"'])
+def test_wrappers_of_the_article(wrapper):
+    assert html_tagpath.main_text(f"<body><nav><a>Home</a></nav><div {wrapper}>{BODY}</div></body>") == BODY_TEXT
+    assert html_tagpath.main_text(f"<body><form id=aspnetForm><div {wrapper}>{BODY}<div class='comments-area'><p>I, too, have something, long, to say.</p></div></div></form></body>") == BODY_TEXT
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><article><header><h1>Title</h1><p>By me, today.</p></header><p>{LONG}</p></article></body>", f"Title {LONG}"),
+        (f"<body><div class=entry><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><p>{LONG}</p></div></body>", f"Title {LONG}{LONG}"),
+        (f"<body><div>{BODY}<p style='display: none'>Unseen, text.</p><p hidden>Unseen, too.</p></div></body>", BODY_TEXT),
+        (f"<body><div>{BODY}<div><a href=/1>More stories</a> <a href=/2>Contact</a></div></div></body>", BODY_TEXT),
+        (f"<body><div>{BODY}</div><section id=comments>{f'<p>A comment, that is longer than all: {LONG}</p>' * 4}</section></body>", BODY_TEXT),
+        (f"<body><div>{BODY}</div><div class='comment-list'>{f'<p>A comment, that is as long: {LONG}</p>' * 2}</div></body>", BODY_TEXT),
+        (f"<body><div>{BODY}<p>See <a href=/x>this, please</a>, and <a href=/y>that</a>.</p></div></body>", BODY_TEXT + " See this, please, and that."),
+        (f"<body><div>{BODY}<div class='cookie-consent'><p>We, too, use cookies.</p></div></div></body>", BODY_TEXT),
+        (f"<body><p>{LONG}</p><p>An <span class=share>Share it, now.</span> end.</p></body>", f"{LONG}An end."),
+        (f"<body><article><p>{LONG}</p><ul><li><a href=/a>A source</a></li></ul></article></body>", f"{LONG}A source"),
+        (f'<body><p title="x > y">{LONG}</p><p>open "quote" and it\'s <b class=x">so</b>.</p></body>', f'{LONG}open "quote" and it\'s so.'),
+    ],
+)
+def test_what_belongs_to_the_article(page, text):
+    assert html_tagpath.main_text(page) == text.strip()
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<div>x" * 50_000, "<b>" * 50_000 + "<div>y</div>" * 50_000, "<ul>" + "<div>" * 30_000 + "<li>a</li>" * 30_000, "</p>" * 200_000, '<a x="' * 100_000 + ">", "<p class='a b" * 50_000, "<div class=ad>z" * 30_000, "x" * 3_000_000, "<script>" * 100_000, "<!--" * 100_000, "&amp" * 300_000])
+def test_very_long_pages_take_time_in_proportion(page):
+    import time
+
+    def took(p):
+        began = time.process_time()
+        html_tagpath.main_text(p)
+        return time.process_time() - began
+
+    assert took(page) < 20 and took(page) < 8 * took(page[: len(page) // 4]) + 1
+
+
 def test_all_pages_have_their_article(spark):
     import html as entities
 
