@@ -18,6 +18,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_by(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, share: int = 1000) -> DataFrame:
+    """left joined with right, which has one row a key, where one key may hold much of left (a written table).
+
+    Keys with over one in `share` of left's rows can be no more than `share`: their rows of right are broadcast and
+    left's stay where they are. All others meet by a shuffle, in which no key is frequent.
+    """
+    total = left.count()
+    often = [r[0] for r in left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > total).select(key).collect()] if total > share else []
+    hot = [k for k in often if k is not None]
+    if not hot:
+        return left.join(right, key, how)
+    few = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], left.select(key).schema))
+    rest = left.join(few, key, "left_anti").join(right, key, how)
+    return left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how).unionByName(rest)
+
+
 def exact_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each fingerprint that several rows have: its first key and the number of rows. Null texts take no part."""
     marked = docs.where(F.col(text).isNotNull()).select(key, fingerprint(F.col(text)).alias("fingerprint"))
