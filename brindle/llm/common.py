@@ -100,8 +100,20 @@ def fold(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def release_memory() -> None:
+    """Give the system back what this worker no longer uses: reused workers else keep what earlier stages needed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int = 2_000_000, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about most_bytes of text; one row may exceed it, never a prefix of it."""
+    release_memory()
     for batch in batches:
         if not batch.num_rows:
             continue

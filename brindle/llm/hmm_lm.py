@@ -282,7 +282,7 @@ def expected_counts(m: Model, texts: list[np.ndarray], total: Counts, *, span: i
     total.move += moves * m.move
 
 
-def _batches_of_texts(texts: Iterator[np.ndarray], most: int = 200_000, hold: int = 2_000_000) -> Iterator[list[np.ndarray]]:
+def _batches_of_texts(texts: Iterator[np.ndarray], most: int = 150_000, hold: int = 1_000_000) -> Iterator[list[np.ndarray]]:
     """Whole texts, those of like lengths together."""
 
     def dealt(held: list[np.ndarray]) -> Iterator[list[np.ndarray]]:

@@ -20,11 +20,12 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from brindle.llm.common import BATCH_ROWS, slices, stored, texts_of
+from brindle.llm.common import slices, stored, texts_of
+from brindle.operators.similarity import join_by
 
 _SEED, _BLOCK = 42, 100_000
 
@@ -70,15 +71,18 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
 def _fingerprint(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fingerprints(texts_of(batch, "text"), size).view(np.int64))], names=["key", "fp"])
+            rest = [k for k, name in enumerate(batch.schema.names) if name != "text"]
+            found = pa.array(fingerprints(texts_of(batch, "text"), size).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in rest], found], names=[*[batch.schema.names[k] for k in rest], "fp"])
 
     return run
 
 
-def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """key and fp (the fingerprint as a signed long) of every row."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprint(shingle), "key long, fp long")
+def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, more: list[Column] | None = None) -> DataFrame:
+    """key and fp (the fingerprint as a signed long) of every row, and more columns as they are. Texts go no further."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *(more or []))
+    schema = StructType([f for f in rows.schema.fields if f.name != "text"] + [StructField("fp", LongType())])
+    return rows.mapInArrow(_fingerprint(shingle), schema)
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -115,76 +119,60 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         around = both.join(labels.withColumnRenamed("fp", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         nearest = labels.join(around, labels.fp == around.a).select("fp", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        nearest = stored(nearest, "nearest")
         jump = nearest.select(F.col("fp").alias("root"), F.col("root").alias("far"))
-        new = stored(nearest.join(jump, "root", "left").select("fp", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
+        new = stored(join_by(nearest, jump, "root", "left").select("fp", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
         changed = not new.where(F.col("root") != F.col("old")).isEmpty()
         labels = new.select("fp", "root")
         if not changed:
             return labels
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """Every class (one fingerprint) with the root of its component."""
+    roots = components(links(classes.select("fp"), radius=radius))
+    return stored(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """Every row's key, fp and component_id, the smallest key that its links reach."""
     marked = stored(fingerprint_documents(docs, key=key, text=text, shingle=shingle), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("key").alias("first")), "classes")
-    roots = components(links(classes.select("fp"), radius=radius))
-    rooted = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(classes, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = stored(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return marked.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    by_fp = join_by(rooted, least, "root").select("fp", "component_id")
+    return join_by(marked, by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def _mark(size: int, text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def written(docs: DataFrame) -> DataFrame:
+    """docs, if it is no more than a table of Parquet files, else such a table with its rows: each row has a place then."""
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    return docs if plan == "LogicalRelation" and docs.inputFiles() and all(f.endswith(".parquet") for f in docs.inputFiles()) else stored(docs, "documents")
 
-        row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, text):
-            marks = [pa.array(fingerprints(texts_of(batch, text), size).view(np.int64)), pa.array(np.arange(row, row + batch.num_rows))]
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*batch.schema.names, "__fp", "__row"])
 
-    return run
+def places(docs: DataFrame) -> list[Column]:
+    """Of a written table, each row's file (as two hashes of its path) and number in it."""
+    meta = docs.metadataColumn("_metadata")
+    return [F.xxhash64(meta["file_path"]).alias("file"), F.xxhash64(F.lit("file"), meta["file_path"]).alias("also"), meta["row_index"].alias("row")]
 
 
-def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest key (a null key comes last; of
-    rows with equal keys the first)."""
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType()), StructField("__row", LongType())])
-    marked = stored(docs.mapInArrow(_mark(shingle, text), schema), "marked")
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("long").alias("key"), F.col("__row").alias("row"))
-    classes = stored(marked.groupBy("__fp").agg(F.min(order).alias("first")).withColumnRenamed("__fp", "fp"), "classes")
-    roots = components(links(classes.select("fp"), radius=radius))
-    rooted = classes.join(roots, "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    return rows_of(marked, kept, docs.schema)
+    rows with equal keys the first in its file).
 
-
-def rows_of(marked: DataFrame, kept: DataFrame, schema: StructType) -> DataFrame:
-    """The rows of a written table whose __row is kept. Only row numbers are shuffled: each file's numbers (__row holds
-    the writing partition, which wrote one file) come to the task that reads the file, and the texts stay where they are."""
-    part = lambda c: F.shiftright(F.col(c), 40)
-    paths = marked.select(F.input_file_name().alias("path"), part("__row").alias("part")).distinct()
-    places = kept.select(part("row").alias("part"), F.col("row")).groupBy("part").agg(F.collect_list(F.col("row").bitwiseAND(F.lit((1 << 40) - 1)).cast("int")).alias("rows"))  # as many as one file has rows
-    files = paths.join(places, "part").select("path", "rows")
-    return files.repartition(max(1, len(marked.inputFiles())), "path").mapInArrow(_read_rows(schema), schema)
-
-
-def _read_rows(schema: StructType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(schema)
-        for batch in batches:
-            for path, rows in zip(batch.column("path").to_pylist(), batch.column("rows"), strict=True):
-                wanted = np.sort(rows.values.to_numpy())
-                fs, name = pafs.FileSystem.from_uri(path)
-                with fs.open_input_file(name) as source:
-                    for some in pq.ParquetFile(source).iter_batches(batch_size=BATCH_ROWS):
-                        own = some.column("__row").to_numpy() & ((1 << 40) - 1)
-                        keep = pa.array(np.isin(own, wanted, assume_unique=True))
-                        yield pa.RecordBatch.from_arrays([some.column(f.name).filter(keep).cast(f.type) for f in target], schema=target)
-
-    return run
+    Fingerprints and places of rows are shuffled, texts are not: rows that go are few, and up to broadcast_rows of
+    them (24 bytes each) are sent to the documents. More are met by a shuffle of the documents.
+    """
+    docs = written(docs)
+    marked = stored(fingerprint_documents(docs, key=key, text=text, shingle=shingle, more=places(docs)), "fingerprints")
+    place = F.struct("file", "also", "row")
+    order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), place.alias("place"))
+    classes = stored(marked.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    rooted = _rooted(classes, radius)
+    least = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("members"))
+    several = join_by(rooted, least.where("members > 1"), "root").select("fp", F.col("keep.place").alias("keep"))
+    gone = stored(join_by(marked, several, "fp").where(place != F.col("keep")).select("file", "also", "row"), "gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone.hint("shuffle_hash")
+    own = places(docs)
+    same = (own[0] == side["file"]) & (own[1] == side["also"]) & (own[2] == side["row"])
+    return docs.join(side, same, "left_anti")

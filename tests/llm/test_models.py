@@ -202,6 +202,34 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash_ball.near_duplicates(odd_rows(spark).limit(0)).count() == 0
 
 
+def test_first_rows_of_components(spark, tmp_path):
+    """keep_first on tables that are no files, on files, with names that clash, and beyond the broadcast."""
+    from pyspark.sql import Row
+
+    near = " ".join(f"word{k}" for k in range(400))
+    rows = [Row(doc_id=k, text=t, fp=1, row=2, file="x", _metadata="m") for k, t in [(9, near), (3, near), (3, near), (None, near), (5, near + " more"), (7, "other text here"), (8, ""), (2, None), (None, "alone")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int, row int, file string, _metadata string")
+    fps = [plain_fingerprint(r.text) for r in rows]
+    root = brute_components([*fps], 2)
+    want = sorted((min((rows[k].doc_id is None, rows[k].doc_id or 0, k) for k in range(len(rows)) if root[k] == x)[:2] for x in set(root)))
+    docs.drop("_metadata").repartition(3).write.parquet(str(tmp_path / "docs"))
+    files = spark.read.parquet(str(tmp_path / "docs"))
+    for table, most in ((docs.drop("_metadata"), 200_000), (files, 200_000), (files, 0), (files.where("true"), 0)):
+        got = simhash_ball.keep_first(table, broadcast_rows=most)
+        assert got.columns == table.columns
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == want
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from brindle.operators.similarity import join_by
+
+    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.createDataFrame([(7, "hot"), (11, "cold"), (14, "cold")], "k long, w string")
+    for how in ("inner", "left"):
+        plain = sorted(map(str, left.join(right, "k", how).collect()))
+        assert sorted(map(str, join_by(left, right, "k", how).collect())) == plain
+
+
 # -- language model -----------------------------------------------------------------------------------------
 
 
