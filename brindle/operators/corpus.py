@@ -59,6 +59,11 @@ def tagged_union(frames: dict[str, DataFrame], tag: str = "_source") -> DataFram
     return out
 
 
+def path_union(first: Column, second: Column) -> Column:
+    """The paths of both arrays in order, once each."""
+    return F.array_distinct(F.concat(first, second))
+
+
 def mix(rows: DataFrame, by: str) -> DataFrame:
     """Rows of each source and its share in percent."""
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
@@ -69,18 +74,37 @@ def mix(rows: DataFrame, by: str) -> DataFrame:
 def replay_sample(rows: DataFrame, *, new_rows: int, ratio: float = 0.3, family: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
     """new_rows * r / (1 - r) rows, evenly from each family in shuffled order, then a top-up from the rest.
 
-    Ranks inside a family are needed up to its even share only; a family's rows below a hash bound that holds
-    that share are ranked, so no family is sorted whole unless it is taken whole.
+    Of a family no more rows are needed than its even share and the whole sample, so only rows below a bound of the
+    shuffled order that holds that many are ranked; the bound is widened until every family has enough.
     """
+    from brindle.operators.similarity import checkpointed, join_by
+
     wanted = int(new_rows * ratio / (1 - ratio) + 0.5)
-    ordered = rows.withColumn("__o", order_key(F.col(key), seed))
-    families = rows.select(family).distinct().count()
+    order = order_key(F.col(key), seed)
+    place = F.conv(F.left(order, F.lit(8)), 16, 10).cast("double") / 2.0**32
+    ordered = checkpointed(rows.select(F.struct(family).alias("__f"), order.alias("__o"), place.alias("__u"), F.col(key).alias("__key")))
+    sizes = checkpointed(ordered.groupBy("__f").agg(F.count(F.lit(1)).alias("__n")))
+    families = sizes.count()
     if not wanted or not families:
         return rows.limit(0)
     even = wanted // families
-    w = Window.partitionBy(family).orderBy("__o", key)
-    ranked = ordered.withColumn("__r", F.row_number().over(w))
-    return ranked.orderBy((F.col("__r") > even).cast("int"), F.when(F.col("__r") > even, F.col("__o")), family, "__r").limit(wanted).drop("__o", "__r")
+    width = 2
+    while True:
+        few = join_by(ordered, sizes, "__f").where(F.col("__u") < width * (even + wanted + 10) / F.col("__n"))
+        held = few.groupBy("__f", "__n").agg(F.count(F.lit(1)).alias("__h"))
+        enough = sizes.join(held.select("__f", "__h"), "__f", "left").where(F.coalesce("__h", F.lit(0)) < F.least(F.col("__n"), F.lit(even + wanted))).isEmpty()
+        if enough:
+            break
+        width *= 4
+    ranked = few.withColumn("__r", F.row_number().over(Window.partitionBy("__f").orderBy("__o", "__key")))
+    late = F.col("__r") > even
+    chosen = ranked.orderBy(late.cast("int"), F.when(late, F.col("__o")), "__f", "__r").limit(wanted)
+    # a sample of the size that was asked for; a repeated key gives as many rows as were chosen of it
+    numbered = rows.withColumn("__key", F.col(key)).withColumn("__f", F.struct(family))
+    picks = chosen.groupBy("__f", "__key").agg(F.count(F.lit(1)).alias("__c"))
+    met = numbered.join(F.broadcast(picks), ["__f", "__key"])
+    w = Window.partitionBy("__f", "__key").orderBy(F.lit(1))
+    return met.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= F.col("__c")).drop("__f", "__key", "__c", "__i")
 
 
 def closest_families(sizes: dict, target: int) -> list:
@@ -115,9 +139,8 @@ def token_statistics(rows: DataFrame, text: str = "text") -> DataFrame:
     """Number, least, most, mean and upper median (the value at n // 2 in order) of the token counts."""
     counted = rows.select(token_count(F.col(text)).alias("n"))
     by_value = counted.groupBy("n").agg(F.count(F.lit(1)).alias("times"))  # as many rows as there are different counts
-    upto = F.sum("times").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     totals = by_value.agg(F.sum("times").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), (F.sum(F.col("n") * F.col("times")) / F.sum("times")).alias("mean"))
-    at = by_value.withColumn("upto", upto).crossJoin(F.broadcast(totals)).where(F.col("upto") > F.floor(F.col("rows") / 2))
+    at = running_sum_by_range(by_value, "n", "times", "upto").crossJoin(F.broadcast(totals)).where(F.col("upto") > F.floor(F.col("rows") / 2))
     return at.groupBy("rows", "least", "most", "mean").agg(F.min("n").alias("median"))
 
 
@@ -140,7 +163,7 @@ def length_gate(rows: DataFrame, limit: int = 2048, text: str = "text") -> DataF
 def quantiles(rows: DataFrame, value: str, points: list[float]) -> DataFrame:
     """Values at index int(p * (n - 1)) in order, by counts of equal values."""
     by_value = rows.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("times"))
-    upto = by_value.withColumn("upto", F.sum("times").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = running_sum_by_range(by_value, "v", "times", "upto")
     total = by_value.agg(F.sum("times").alias("rows"))
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("p")
     asked = total.select("rows", wanted).withColumn("at", F.floor(F.col("p") * (F.col("rows") - 1)))
@@ -197,6 +220,38 @@ def swap_reference(text: Column, old: Column, new: Column) -> Column:
     return F.when(old.isNull() | new.isNull(), text).otherwise(F.regexp_replace(text, quoted, new))
 
 
+#: The features of hard examples and their weights.
+DIFFICULTY = {"transport_negative": 10, "turkish": 8, "multi_equipment": 7, "multi_cargo": 7, "long_document": 5, "sparse_optional_fields": 6, "ocr_alphanumeric_noise": 4}
+
+
+def difficulty_features(instruction: Column, text: Column, turkish_terms: list[str]) -> dict[str, Column]:
+    """By name, does a feature hold: nothing about transport; a term of the list as a word; several containers or
+    cargo items; 1800 characters; at most four filled fields; a run of letters, a digit and more."""
+    filled = lambda c, kind: F.coalesce(F.size(c) > 0 if kind.startswith("array") else (F.trim(c) != "" if kind == "string" else c.isNotNull()), F.lit(False))
+    fields = _top_fields()
+    words = F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}]+"), F.lit(0)), F.lower)
+    populated = sum((filled(instruction[n], kind).cast("int") for n, kind in fields), F.lit(0))
+    transport = [filled(instruction[n], kind) for n, kind in fields if n in ("transport_plans", "transport_document_type", "freight_payment_term_code")]
+    return {
+        "transport_negative": ~(transport[0] | transport[1] | transport[2]),
+        "turkish": F.arrays_overlap(words, F.array(*[F.lit(t.lower()) for t in turkish_terms])) if turkish_terms else F.lit(False),
+        "multi_equipment": F.coalesce(F.size(instruction["equipment_list"]) > 1, F.lit(False)),
+        "multi_cargo": F.coalesce(F.size(instruction["cargo_items"]) > 1, F.lit(False)),
+        "long_document": F.length(text) >= 1800,
+        "sparse_optional_fields": populated <= 4,
+        "ocr_alphanumeric_noise": text.rlike(r"\b[A-Z]{2,}[0-9][A-Z0-9]{2,}\b"),
+    }
+
+
+def _top_fields() -> list[tuple[str, str]]:
+    """Names and kinds of an instruction's own fields."""
+    from pyspark.sql.types import StructType
+
+    from brindle.plans.schemas import INSTRUCTION
+
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(INSTRUCTION.removeprefix("struct<").removesuffix(">"))]
+
+
 def difficulty(features: dict[str, tuple[Column, int]]) -> tuple[Column, Column]:
     """Names of the features that hold, and their summed weights."""
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, (c, _) in features.items()]))

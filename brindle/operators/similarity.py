@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import fingerprint, jaccard, normalize_text, token_set
@@ -14,7 +19,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the session's checkpoint folder; a temporary one is set only where there is none."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="brindle-"))
     return df.checkpoint()
 
 
@@ -61,7 +69,7 @@ def token_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     marked = docs.select(F.col(key).alias("key"), tokens.alias("tokens")).withColumn("class", F.sha2(F.array_join(F.transform("tokens", lambda t: F.hex(t)), " "), 256))
     members = checkpointed(marked.select("key", "class", "tokens"))
     classes = members.groupBy("class").agg(F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("size"))
-    return members.select("key", "class"), classes.withColumn("n", F.size("tokens"))
+    return checkpointed(members.select("key", "class")), checkpointed(classes.withColumn("n", F.size("tokens")))
 
 
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
@@ -71,7 +79,6 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     n - ceil(t n) + 1 of each, so only these rare tokens are joined; sizes must lie within a factor of t; the exact
     similarity then decides.
     """
-    classes = checkpointed(classes)
     each = classes.where("n > 0").select("class", F.explode("tokens").alias("token"))
     rarity = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = each.join(rarity, "token").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))
@@ -94,9 +101,9 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     labels = checkpointed(nodes.select("node", F.col("node").alias("root")))
     while True:
         around = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        nearest = labels.join(around, labels.node == around.a, "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
+        nearest = checkpointed(labels.join(around, labels.node == around.a, "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")))
         jump = nearest.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = checkpointed(nearest.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
+        new = checkpointed(join_by(nearest, jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
         done = new.where("root <> old").isEmpty()
         labels = new.select("node", "root")
         if done:
@@ -112,42 +119,137 @@ def source_groups(docs: DataFrame, *, threshold: float = 0.9, key: str = "doc_id
     around = ends.join(sizes.toDF("other", "others"), "other").groupBy("class").agg(F.sum("others").alias("others"))
     firsts = members.groupBy("class").agg(F.min("key").alias("first"))
     roots = components(links, classes.select(F.col("class").alias("node")))
-    rooted = roots.join(firsts, roots.node == firsts["class"]).select("class", "root", "first")
+    rooted = checkpointed(roots.join(firsts, roots.node == firsts["class"]).select("class", "root", "first"))
     named = rooted.groupBy("root").agg(F.min("first").alias("group_id"))
-    by_class = rooted.join(named, "root").join(sizes, "class").join(around, "class", "left").select("class", "group_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))
-    return members.join(by_class, "class").select(F.col("key").alias(key), "group_id", "n_links")
-
-
-def best_match(docs: DataFrame, forbidden: DataFrame, *, key: str = "doc_id", item: str = "item_id", text: str = "text", least_size: float = 0.0) -> DataFrame:
+    by_class = join_by(rooted, named, "root").join(sizes, "class").join(around, "class", "left").select("class", "group_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))
+    return join_by(members, by_class, "class").select(F.col("key").alias(key), "group_id", "n_links")
+
+
+def _blocks(rows: DataFrame, size: Column, most: int) -> Iterator[DataFrame]:
+    """A set of stated queries in blocks of about `most` (tokens or characters) each."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = max(1, -(-total // most))
+    for k in range(n):
+        yield rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == k)
+
+
+def _best(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, sizes, number, begin, posting = shared.value
+        for batch in batches:
+            tokens = batch.column("t")
+            n = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+            flat = np.array([number.get(w, -1) for w in tokens.flatten().to_pylist()], dtype=np.int64)
+            ends = np.cumsum(n)
+            keys, found, scores = [], [], []
+            for k, (end, m) in enumerate(zip(ends.tolist(), n.tolist(), strict=True)):
+                own = flat[end - m : end]
+                own = own[own >= 0]
+                if not len(own):
+                    continue
+                hits = np.concatenate([posting[begin[w] : begin[w + 1]] for w in own.tolist()])
+                both = np.bincount(hits, minlength=len(items))
+                some = np.flatnonzero(both)
+                score = both[some] / (m + sizes[some] - both[some])
+                best = some[int(np.argmax(score))]  # items are in order: the first of equal ones
+                keys.append(k)
+                found.append(int(best))
+                scores.append(float(score.max()))
+            if keys:
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(keys)), pa.array([items[i] for i in found], type=pa.int64()), pa.array(scores)], names=["k", "i", "s"])
+
+    return run
+
+
+def best_match(docs: DataFrame, forbidden: DataFrame, *, key: str = "doc_id", item: str = "item_id", text: str = "text", least_size: float = 0.0, block_tokens: int = 2_000_000) -> DataFrame:
     """The most similar forbidden item of each document by shared tokens: key, item, similarity rounded to 4.
     Documents that share no token have no row. Equal similarities go to the smallest item.
 
-    The forbidden set's tokens are exploded against the documents' tokens; the set is a list of stated queries.
+    The forbidden set is a list of stated queries: an index of its tokens, in blocks of block_tokens, goes to the
+    documents, which are neither shuffled nor paired with every item.
     """
-    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), token_set(F.col(text)).alias("t")).withColumn("n", F.size("t"))
-    bad = forbidden.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), token_set(F.col(text)).alias("u")).withColumn("m", F.size("u"))
-    met = own.select("k", "n", F.explode("t").alias("w")).join(bad.select("i", "m", F.explode("u").alias("w")), "w")
-    shared = met.groupBy("k", "i", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    scored = shared.select("k", "i", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("s")).where(F.col("s") >= least_size)
-    best = scored.groupBy("k").agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("i").alias("i"))).alias("x"))
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), token_set(F.col(text)).alias("t"))
+    bad = forbidden.where(F.col(text).isNotNull()).select(F.col(item).cast("long").alias("i"), token_set(F.col(text)).alias("u"))
+    out = None
+    for block in _blocks(bad, F.size("u"), block_tokens):
+        rows = sorted((r["i"], r["u"]) for r in block.where("i IS NOT NULL").collect())
+        number = {w: k for k, w in enumerate(sorted({w for _, u in rows for w in u}))}
+        listed = sorted((number[w], k) for k, (_, u) in enumerate(rows) for w in u)
+        words, posting = np.array([x for x, _ in listed], dtype=np.int64), np.array([x for _, x in listed], dtype=np.int64)
+        begin = np.searchsorted(words, np.arange(len(number) + 1))
+        shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in rows], np.array([len(u) for _, u in rows], dtype=np.int64), number, begin, posting))
+        one = own.mapInArrow(_best(shared), "k long, i long, s double")
+        out = one if out is None else out.union(one)
+    best = out.where(F.col("s") >= least_size).groupBy("k").agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("i").alias("i"))).alias("x"))
     return best.select(F.col("k").alias(key), F.col("x.i").alias(item), F.round(-F.col("x.s"), 4).alias("similarity"))
 
 
 def containing(docs: DataFrame, forbidden: DataFrame, *, key: str = "doc_id", item: str = "item_id", text: str = "text", anchor: int = 5) -> DataFrame:
-    """J02 by containment: documents whose normalised text holds an item's normalised text. The items' first words
-    (`anchor` of them) are joined with the documents' runs of that many words, then the whole item is compared.
-    Items of fewer words say too little to match."""
-    items = forbidden.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), normalize_text(F.col(text)).alias("u")).where("u <> ''").withColumn("words", F.split("u", " "))
-    long = items.where(F.size("words") >= anchor).withColumn("h", F.xxhash64(F.array_join(F.slice("words", 1, anchor), " ")))
-    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), normalize_text(F.col(text)).alias("t"))
-    runs = f"explode(flatten(transform(filter(array(split(t, ' ')), w -> size(w) >= {anchor}), w -> transform(sequence(0, size(w) - {anchor}), j -> named_struct('h', xxhash64(array_join(slice(w, j + 1, {anchor}), ' ')))))))"
-    at = own.select("k", "t", F.expr(runs).alias("r")).select("k", "t", "r.h")
-    met = at.join(long.select("i", "u", "h"), "h")
+    """J02 by containment: documents whose normalised text holds an item's normalised text, whole words of it. Hashes of
+    the items' first words (`anchor` of them, or all of a shorter item) meet those of the documents' runs of as many
+    words, without texts; then the whole items are compared with the texts of the documents that were met."""
+    items = forbidden.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), normalize_text(F.col(text)).alias("u")).where("u <> ''").withColumn("n", F.least(F.size(F.split("u", " ")), F.lit(anchor)))
+    items = items.withColumn("h", F.xxhash64("n", F.array_join(F.slice(F.split("u", " "), F.lit(1), F.col("n")), " ")))
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]  # at most `anchor`
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("d"), normalize_text(F.col(text)).alias("t"))
+    runs = [f"transform(sequence(0, greatest(size(w) - {n}, 0)), j -> xxhash64({n}, array_join(slice(w, j + 1, {n}), ' ')))" for n in sizes]
+    if not runs:
+        return docs.select(F.col(key)).withColumn(item, F.lit(None).cast(dict(forbidden.dtypes)[item])).limit(0)
+    hashes = F.expr(f"explode(array_distinct(flatten(transform(array(split(t, ' ')), w -> concat({', '.join(runs)})))))")
+    met = own.select("k", "d", hashes.alias("h")).join(items.select("i", "h"), "h").select("k", "d", "i").distinct()
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    found = met.where(F.contains(padded(F.col("t")), padded(F.col("u")))).select("k", "i").distinct()
+    texts = own.distinct().withColumnsRenamed({"k": "k2", "d": "d2"})
+    whole = met.join(texts, F.col("k").eqNullSafe(F.col("k2")) & (F.col("d") == F.col("d2"))).join(items.select("i", "u"), "i")
+    found = whole.where(F.contains(padded(F.col("t")), padded(F.col("u")))).select("k", "i").distinct()
     return found.select(F.col("k").alias(key), F.col("i").alias(item))
 
 
+def _sequences(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from difflib import SequenceMatcher
+
+        queries = sorted(shared.value, key=lambda q: (len(q[1]), q[0]))
+        lengths = [len(t) for _, t in queries]
+        best: dict[int, tuple[float, int]] = {}
+        for batch in batches:
+            for key, text in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                n = len(text)
+                # 2 * shorter / both lengths bounds the ratio from above
+                low, high = n * least / (2 - least), n * (2 - least) / least if least else float("inf")
+                for q, t in queries[bisect.bisect_left(lengths, low) : bisect.bisect_right(lengths, high)]:
+                    match = SequenceMatcher(None, t, text)
+                    floor = max(least, best[q][0] if q in best else 0.0)
+                    if match.real_quick_ratio() >= floor and match.quick_ratio() >= floor:
+                        r = match.ratio()
+                        if r > least and (q not in best or (r, -key) > (best[q][0], -best[q][1])):
+                            best[q] = (r, key)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), type=pa.int64()), pa.array([x[1] for x in best.values()], type=pa.int64()), pa.array([x[0] for x in best.values()])], names=["q", "k", "r"])
+
+    return run
+
+
+def best_sequence(queries: DataFrame, docs: DataFrame, *, key: str = "doc_id", query: str = "item_id", text: str = "text", least: float = 0.9, block_chars: int = 16_000_000) -> DataFrame:
+    """Of each query (a stated set) the document whose text has the highest ratio of matching characters, if that
+    is above `least`; equal ratios go to the smallest key. The length and the characters' counts bound the ratio from
+    above, so only close texts are compared in full. Rows with a null key or text take no part."""
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+    asked = queries.select(F.col(query).cast("long").alias("q"), F.col(text).alias("t")).where("q IS NOT NULL AND t IS NOT NULL")
+    out = None
+    for block in _blocks(asked, F.length("t"), block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast([(r["q"], r["t"]) for r in block.collect()])
+        one = rows.mapInArrow(_sequences(shared, least), "q long, k long, r double")
+        out = one if out is None else out.union(one)
+    best = out.groupBy("q").agg(F.min(F.struct((-F.col("r")).alias("r"), F.col("k").alias("k"))).alias("x"))
+    return best.select(F.col("q").alias(query), F.col("x.k").alias(key), (-F.col("x.r")).alias("ratio"))
+
+
+def new_only(rows: DataFrame, history: DataFrame, hash: str, *, order: str) -> DataFrame:
+    """Of rows whose hash isn't in the history, the first of each hash in order."""
+    fresh = rows.join(history.select(hash).distinct(), hash, "left_anti")
+    return keep_first(fresh, [F.col(hash)], order=order)
+
+
 def without(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key is not found."""
     return docs.join(found.select(key).distinct(), key, "left_anti")

@@ -25,13 +25,16 @@ def extension(path: Column) -> Column:
 
 def scan_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Binary files whose extension is allowed and whose first bytes fit it; and the rest with a reason."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    marked = judge_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL").select("path", "length", "extension", "reason")
+
+
+def judge_files(files: DataFrame) -> DataFrame:
+    """S01, S02 beside each file (path, content): extension, kind by the first bytes, and the reason to refuse it."""
     judged = files.withColumn("extension", extension(F.col("path"))).withColumn("kind", sniff(F.col("content")))
     expected = F.translate(F.col("extension"), ".", "")
-    fits = (F.col("extension") == ".xml") | (F.col("kind") == F.when(expected == "jpg", F.lit("jpeg")).otherwise(expected))
-    reason = F.when(~F.col("extension").isin(EXTENSIONS), F.lit("extension")).when(F.coalesce(~fits, F.lit(True)), F.lit("content"))
-    marked = judged.withColumn("reason", reason)
-    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL").select("path", "length", "extension", "reason")
+    fits = (F.col("extension") == ".xml") | (F.col("kind") == F.when(expected.isin("jpg", "jpeg"), F.lit("jpeg")).otherwise(expected))
+    return judged.withColumn("reason", F.when(~F.col("extension").isin(EXTENSIONS), F.lit("extension")).when(F.coalesce(~fits, F.lit(True)), F.lit("content")))
 
 
 def sniff(content: Column) -> Column:
@@ -72,6 +75,43 @@ def docx_text(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_docx, "path string, text string, error string")
 
 
+def _make_docx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xml.sax.saxutils import escape
+
+    def one(paragraphs: list[str]) -> bytes:
+        body = "".join(f"<w:p><w:r><w:t>{escape(p)}</w:t></w:r></w:p>" for p in paragraphs)
+        sink = io.BytesIO()
+        with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("[Content_Types].xml", "<Types/>")
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        return sink.getvalue()
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([one(p) for p in batch.column("paragraphs").to_pylist()], type=pa.binary())], names=["path", "content"])
+
+
+def make_docx(rows: DataFrame) -> DataFrame:
+    """path and content of small documents from path and paragraphs (an array of text)."""
+    return rows.select("path", "paragraphs").mapInArrow(_make_docx, "path string, content binary")
+
+
+def zip_entries(rows: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key, name and content of each file in ZIP archives; one that is broken has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
+                        out += [(k, n, z.read(n)) for n in z.namelist()]
+                except zipfile.BadZipFile:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], type=t) for j, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["k", "name", "content"])
+
+    return rows.select(F.col(key).cast("string"), content).mapInArrow(run, "k string, name string, content binary").withColumnRenamed("k", key)
+
+
 def _xml(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xml.etree.ElementTree as ET
 
@@ -126,8 +166,8 @@ def source_records(rows: DataFrame, *, prompt: str = "input", answer: str = "out
 
 def session_records(spark: SparkSession, root: str) -> DataFrame:
     """session_id, input and output of session folders that hold both files."""
-    text = spark.read.option("wholetext", "true").text(f"{root}/*/ocr_layout_text.txt").select(session_id(F.col("_metadata.file_path")).alias("session_id"), F.col("value").alias("input"))
-    label = spark.read.option("wholetext", "true").text(f"{root}/*/approved_instruction.json").select(session_id(F.col("_metadata.file_path")).alias("session_id"), F.col("value").alias("output"))
+    text = spark.read.text(f"{root}/*/ocr_layout_text.txt", wholetext=True).select(session_id(F.col("_metadata.file_path")).alias("session_id"), F.col("value").alias("input"))
+    label = spark.read.text(f"{root}/*/approved_instruction.json", wholetext=True).select(session_id(F.col("_metadata.file_path")).alias("session_id"), F.col("value").alias("output"))
     return text.join(label, "session_id").where(F.col("session_id").rlike(r"^[0-9]{8}_[0-9]{6}_[0-9]{6}$") & (F.length("input") >= LEAST_TEXT))
 
 
