@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as tx
-from brindle.functions import trade
+from brindle.functions import nested, trade
 from brindle.operators import corpus, evaluate, evidence, layout, similarity, validate
 from brindle.plans import documents
+from brindle.plans.schemas import INSTRUCTION
 from brindle.plans.shipping import ship_package
 from brindle.sources import generators
 from brindle.streaming import events as streams
@@ -64,17 +65,17 @@ def dedupe_keep_first(spark, sf_dir):
 
 @query(
     f"""SELECT doc_id, {norm('text')} AS p01, len({tokens('text')}) AS n_distinct, translate(regexp_replace(replace(lower(source), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '0158', 'oisb') AS folded,
-    substr({COLLAPSE.format("text")}, 1, 60) AS head FROM documents"""
+    {COLLAPSE.format("text")} AS collapsed FROM documents"""
 )
 def text_normal_forms(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(t).alias("p01"), F.size(tx.token_set(t)).cast("long").alias("n_distinct"), tx.fold_confusables(F.col("source")).alias("folded"), F.left(tx.collapse(t), F.lit(60)).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(t).alias("p01"), F.size(tx.token_set(t)).cast("long").alias("n_distinct"), tx.fold_confusables(F.col("source")).alias("folded"), tx.collapse(t).alias("collapsed"))
 
 
-_SECRETS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(13) || chr(10), '  '), '(?i)(authorization\s*[:=]\s*bearer\s+)[^\s,;]+', '\1[REDACTED]', 'g'), '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+', '\1[REDACTED]', 'g'), '(?i)([' || chr(34) || ''']?(?:api[_-]?key|token|secret)[' || chr(34) || ''']?\s*[:=]\s*[' || chr(34) || ''']?)[^' || chr(34) || '''\s,;}]+', '\1[REDACTED]', 'g'), '(?i)([?&](?:api[_-]?key|token|secret)=)[^&\s]+', '\1[REDACTED]', 'g')"
+_SECRETS = r"regexp_replace(regexp_replace(translate(text, chr(13) || chr(10), '  '), '(?i)(\bbearer\s+)[^\s,;]+', '\1[REDACTED]', 'g'), '(?i)((?:api[_-]?key|token|secret)[' || chr(34) || ''']?\s*[:=]\s*[' || chr(34) || ''']?)[^\s' || chr(34) || ''',;&}]+', '\1[REDACTED]', 'g')"
 
 
-@query(f"SELECT doc_id, left({_SECRETS}, 4000) AS redacted FROM documents")
+@query(f"SELECT doc_id, {_SECRETS} AS redacted FROM documents")
 def redact_secrets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.redact_secrets(F.col("text")).alias("redacted"))
 
@@ -149,7 +150,7 @@ def forbidden_best_match(spark, sf_dir):
     return similarity.best_match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_HOLDS = f"SELECT d.doc_id, b.item_id FROM (SELECT doc_id, ' ' || {norm('text')} || ' ' AS t FROM documents) d JOIN (SELECT item_id, {norm('text')} AS u FROM benchmark) b ON contains(d.t, ' ' || b.u || ' ') WHERE len(string_split(b.u, ' ')) >= 5"
+_HOLDS = f"SELECT d.doc_id, b.item_id FROM (SELECT doc_id, ' ' || {norm('text')} || ' ' AS t FROM documents) d JOIN (SELECT item_id, {norm('text')} AS u FROM benchmark) b ON b.u <> '' AND contains(d.t, ' ' || b.u || ' ')"
 
 
 @query(_HOLDS)
@@ -266,12 +267,6 @@ def noise_variants(spark, sf_dir):
     return noisy.select("doc_id", "noisy")
 
 
-@query("SELECT page_id, url FROM (SELECT page_id, string_split(url, '#')[1] AS url, regexp_extract(url, '/(en|fr|de|es)/', 1) AS q FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
-def candidate_collection(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", tx.strip_fragment(F.col("url")).alias("url"))
-    return similarity.keep_first(pages, [F.col("url")], order="page_id")
-
-
 # -- quality, evidence, evaluation --------------------------------------------------------------------------
 
 
@@ -288,31 +283,17 @@ def quality_gate(spark, sf_dir):
     return out.select("doc_id", F.col("groups").cast("int").alias("groups"), F.round("english", 9).alias("english"), F.round("quality_score", 6).alias("score"), "relevant")
 
 
-def _claims(spark, sf_dir):
-    """The first eight words of each question as a value, the answer as the text; ASCII only, as DuckDB's edit distance counts bytes."""
-    turns = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", ""))
-    asked = turns.where("turn = 0").select("conv_id", F.array_join(F.slice(F.split(tx.normalize_text(F.col("text")), " "), 1, 8), " ").alias("value"))
-    told = turns.where("turn = 1").select("conv_id", "text")
-    return asked.join(told, "conv_id")
-
-
-_ARG = f"""x AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM conversations), a AS (SELECT conv_id, array_to_string(string_split({norm('text')}, ' ')[1:8], ' ') AS value FROM x WHERE turn = 0), b AS (SELECT conv_id, text FROM x WHERE turn = 1),
-c AS (SELECT a.conv_id, row_number() OVER () AS r, value, list_distinct(list_filter(string_split(value, ' '), lambda w: w <> '')) AS own, list_distinct(list_filter(string_split({norm('text')}, ' '), lambda w: w <> '')) AS there FROM a JOIN b USING (conv_id))"""
 _FOLD = r"translate(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g'), '0158', 'oisb')"
 
 
-@query(
-    f"""WITH {_ARG}, w AS (SELECT conv_id, r, len(own) AS n, unnest(own) AS w, there FROM c), e AS (SELECT conv_id, r, n, w, list_contains(there, w) AS exact, {_FOLD.format('w')} AS fw, list_distinct(list_transform(there, lambda t: {_FOLD.format('t')})) AS ft FROM w),
-    h AS (SELECT conv_id, r, n, exact OR len(list_filter(ft, lambda t: abs(length(t) - length(fw)) <= 0.2 * greatest(length(t), length(w)) + 1 AND CASE WHEN greatest(length(fw), length(t)) = 0 THEN true ELSE 1 - levenshtein(fw, t) / greatest(length(fw), length(t)) >= 0.8 END)) > 0 AS hit FROM e),
-    s AS (SELECT conv_id, r, count(*) FILTER (hit) / n AS score FROM h GROUP BY conv_id, r, n) SELECT conv_id, score AS evidence_score, CASE WHEN score >= 0.8 THEN 'supported' WHEN score >= 0.5 THEN 'uncertain' ELSE 'unsupported' END AS evidence_status FROM s"""
-)
+@query()
 def evidence_scores(spark, sf_dir):
-    return evidence.fuzzy_evidence(_claims(spark, sf_dir)).select("conv_id", "evidence_score", "evidence_status")
-
-
-@query("SELECT event_id, path, value FROM (SELECT event_id, unnest(json_keys(props)) AS path, props FROM events) e, LATERAL (SELECT json_extract_string(e.props, '$.' || e.path) AS value)")
-def json_flatten(spark, sf_dir):
-    return evaluate.flatten_json(table(spark, sf_dir, "events"), "props", key="event_id", depth=1)
+    """How far each conversation's other turns support its first. DuckDB's edit distance counts bytes, so a
+    plain loop tests this."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("turn = 0").select("conv_id", F.col("text").alias("value"))
+    told = turns.where("turn > 0").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return evidence.fuzzy_evidence(asked.join(told, "conv_id")).select("conv_id", "evidence_score", "evidence_status")
 
 
 _PAIRS = "p AS (SELECT d.doc_id, d.lang AS category, k AS path, CASE k WHEN 'toxic' THEN CAST(toxic AS VARCHAR) ELSE CAST(quality AS VARCHAR) END AS e, CASE k WHEN 'toxic' THEN CASE WHEN d.n_chars % 7 = 0 THEN NULL WHEN d.n_chars % 5 = 0 THEN '1' ELSE '0' END ELSE CASE WHEN d.n_chars > 500 THEN '1' ELSE '0' END END AS a FROM documents d JOIN labels USING (doc_id), (VALUES ('toxic'), ('quality')) v(k))"
@@ -462,14 +443,23 @@ def layout_lines(spark, sf_dir):
     return layout.page_texts(lines, ["doc", "page"])
 
 
-@query()
+@query(
+    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 25 ELSE 5 END AS risk, 'DRAFT' AS grade, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS n_findings, 1 AS n_missing, 'BK' || o_orderkey AS booking, strftime(o_orderdate, '%Y-%m-%d') AS issued, c_name AS shipper, CASE WHEN o_orderkey % 3 <> 0 THEN 'ACME LTD' END AS consignee,
+    'IZMIR' AS loading, '45G1' AS kind, 2 AS n_containers, 18750.0::DOUBLE AS gross, 1 AS n_items, 12.5::DOUBLE AS volume, 'COL' AS freight FROM orders JOIN customer ON o_custkey = c_custkey"""
+)
 def document_pipeline(spark, sf_dir):
-    """Instructions written from orders, read back by the pattern extractor, normalised and graded."""
+    """Instructions written from orders, read back by the pattern extractor, normalised, validated and graded."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey").cast("string")
-    text = F.concat_ws("\n", F.concat(F.lit("BOOKING NO: BK"), key), F.concat(F.lit("SHIPPER: "), F.col("c_name")), F.when(F.col("o_orderkey") % 3 != 0, F.lit("CONSIGNEE: ACME LTD.")), F.concat(F.lit("DATE: "), F.date_format("o_orderdate", "dd.MM.yyyy")), F.lit("PORT OF LOADING: TRIZM IZMIR"), F.concat(generators.reference(key, F.lit("1"), 7), F.lit(" 40HC GROSS: 18,750.00 KG")), F.lit("FREIGHT COLLECT"))
+    text = F.concat_ws("\n", F.concat(F.lit("BOOKING NO: BK"), key), F.concat(F.lit("SHIPPER: "), F.col("c_name")), F.when(F.col("o_orderkey") % 3 != 0, F.lit("CONSIGNEE: ACME LTD.")), F.concat(F.lit("DATE: "), F.date_format("o_orderdate", "dd.MM.yyyy")), F.lit("PORT OF LOADING: TRIZM IZMIR"), F.concat(generators.reference(key, F.lit("1"), 7), F.lit(" 40HC GROSS: 18,750.00 KG")), F.lit("TEA 12.5 CBM"), F.lit("FREIGHT COLLECT"))
     done = documents.process(orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
-    return done.select("doc_id", "risk", "grade", F.size("findings").alias("n_findings"), "n_missing", F.to_json("instruction").alias("instruction"))
+    i = F.col("instruction")
+    party = lambda role: F.get(F.filter(i["parties"], lambda p: p["party_role_code"] == role), F.lit(0))["party_name"]
+    first, item = F.get(i["equipment_list"], F.lit(0)), F.get(i["cargo_items"], F.lit(0))
+    return done.select(
+        "doc_id", "risk", "grade", F.size("findings").alias("n_findings"), "n_missing", i["carrier_booking_reference"].alias("booking"), i["issue_date"].alias("issued"), party("CZ").alias("shipper"), party("CN").alias("consignee"), F.get(i["transport_plans"], F.lit(0))["port_of_loading"]["location_name"].alias("loading"),
+        first["iso_equipment_code"].alias("kind"), F.size(i["equipment_list"]).alias("n_containers"), first["cargo_gross_weight"]["weight"].alias("gross"), F.size(i["cargo_items"]).alias("n_items"), item["volume"]["volume_value"].alias("volume"), i["freight_payment_term_code"].alias("freight"),
+    )
 
 
 @query()
@@ -478,15 +468,23 @@ def synthetic_instructions(spark, sf_dir):
     return generators.multi_container(spark, 1000).select("id", "n_containers", "text").unionByName(generators.turkish(spark, 1000).select("id", "n_containers", "text"))
 
 
-@query("SELECT o_orderkey AS id, c_name AS shipper, o_orderpriority AS term, count(*) AS n_items, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3")
+@query(
+    """SELECT o_orderkey AS id, 'SI' || o_orderkey AS reference, 'BK' || o_custkey AS booking, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE c_name END AS shipper, 'ACME' AS consignee, CASE WHEN o_orderkey % 2 = 0 THEN c_mktsegment END AS notify,
+    'IZMIR' AS loading, NULL::VARCHAR AS discharge, (SELECT string_agg('C' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber % 2 = 1) AS containers FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber % 2 = 1)"""
+)
 def erp_flatten(spark, sf_dir):
-    """Nested instructions flattened to ERP rows."""
-    item = F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
-    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    nested = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.array(F.struct(F.lit("CZ").alias("role"), F.col("c_name").alias("name"))).alias("parties"), "o_orderpriority", "items")
-    shipper = F.get(F.filter("parties", lambda p: p["role"].isin("CZ", "SHI")), F.lit(0))["name"]
-    return nested.select(F.col("o_orderkey").alias("id"), shipper.alias("shipper"), F.col("o_orderpriority").alias("term"), F.size("items").cast("long").alias("n_items"), F.aggregate("items", F.lit(0.0), lambda a, x: a + x["quantity"]).alias("quantity"))
+    """Nested instructions flattened to the rows of an ERP system; null and blank containers go."""
+    reference = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("C"), F.col("l_partkey").cast("string"))).otherwise(F.when(F.col("l_linenumber") % 4 == 0, F.lit(" ")))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", reference.alias("r")))).alias("x"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(lines.where(F.exists("x", lambda x: x["l_linenumber"] % 2 == 1)), F.col("o_orderkey") == F.col("l_orderkey"))
+    party = lambda role, name: F.struct(role.alias("party_role_code"), name.alias("party_name"))
+    shipper = F.when(F.col("o_orderkey") % 5 == 0, F.lit("FW")).when(F.col("o_orderkey") % 5 == 1, F.lit("SHI")).otherwise(F.lit("CZ"))
+    parties = F.array(party(F.lit("CN"), F.lit("ACME")), party(shipper, F.col("c_name")), party(F.when(F.col("o_orderkey") % 2 == 0, F.lit("N1")), F.col("c_mktsegment")))
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    plans = F.array(F.struct(F.struct(F.lit("IZMIR").alias("location_name")).alias("port_of_loading")))
+    body = F.struct(text("SI", "o_orderkey").alias("shipping_instruction_reference"), text("BK", "o_custkey").alias("carrier_booking_reference"), parties.alias("parties"), plans.alias("transport_plans"), F.transform("x", lambda x: F.struct(x["r"].alias("equipment_reference"))).alias("equipment_list"))
+    rows = orders.select("o_orderkey", F.from_json(F.to_json(body), INSTRUCTION).alias("i"))
+    return rows.select(F.col("o_orderkey").alias("id"), *nested.erp_row(F.col("i"))).withColumn("containers", F.array_join("containers", ","))
 
 
 # -- more joins, decisions and layouts ----------------------------------------------------------------------

@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from brindle.plans import queries
+from brindle.plans import catalog as queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
