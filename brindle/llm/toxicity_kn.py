@@ -163,7 +163,7 @@ def _document_features(models: Models, words: list[list[str]], memo: Memo) -> np
     return features(values, np.array([len(x) for x in words], dtype=np.int64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 2000, ordinary_rows: int = 3000, sample_bytes: int = 64_000_000, folds: int = 3) -> Models:
+def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 2000, ordinary_rows: int = 3000, sample_bytes: int = 32_000_000, folds: int = 3) -> Models:
     """Learn from labelled rows where `learn` holds: at most about toxic_rows and ordinary_rows of them, chosen by a
     hash of the key at a rate that the class sizes set; fewer if their texts (rows with equal keys and texts count
     once) have more than sample_bytes. The logistic function is fitted on each fold's rows as the
@@ -184,25 +184,39 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, key: str = "doc_id
     size = picked.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     if size > sample_bytes:
         picked = picked.where(F.pmod(F.xxhash64(F.lit("bytes"), "k", "t"), F.lit(1_000_000)) < int(1_000_000 * sample_bytes / size))
-    rows = [(hash_of(r["k"]) % folds, r["y"], expressions(r["t"] or "")) for r in picked.orderBy("k", "t").collect()]
-    words = [[Counter(), Counter()] for _ in range(folds)]
-    for f, y, w in rows:
-        words[f][y].update(map(bare_word, w))
-    both = [sum((w[y] for w in words), Counter()) for y in (0, 1)]
+    # words as numbers: the sample's texts are gone when the models are made
+    number: dict[str, int] = {}
+    rows = [(hash_of(r["k"]) % folds, r["y"], np.fromiter((number.setdefault(w, len(number)) for w in expressions(r["t"] or "")), dtype=np.int32)) for r in picked.orderBy("k", "t").toLocalIterator()]
+    words = list(number)
+    counted = np.zeros((folds, 2, len(words)), dtype=np.int64)
+    for f, y, own in rows:
+        counted[f, y] += np.bincount(own, minlength=len(words)).astype(np.int64)
+    bare = list(map(bare_word, words))
+
+    def fitted(counts: np.ndarray) -> Models:
+        by_class = (Counter(), Counter())
+        for c, n in zip(by_class, counts, strict=True):
+            for k in np.flatnonzero(n).tolist():
+                c[bare[k]] += int(n[k])
+        return fit_models(*by_class)
+
     x, y = [], []
     for f in range(folds):
         # features of rows that the models did not see
-        models = fit_models(*[both[c] - words[f][c] for c in (0, 1)])
         some = [r for r in rows if r[0] == f]
         if some:
-            x.append(_document_features(models, [r[2] for r in some], Memo(models.log_ratio)))
+            models = fitted(counted.sum(axis=0) - counted[f])
+            used = np.flatnonzero(counted[f].sum(axis=0))
+            values = np.zeros((len(words), 2))
+            values[used] = models.log_ratio([words[k] for k in used.tolist()])
+            x.append(features(values[np.concatenate([r[2] for r in some])], np.array([len(r[2]) for r in some], dtype=np.int64)))
             y += [r[1] for r in some]
     if not y:
         return Models([], [], np.array([np.log(n1 / n0)] + [0.0] * (FEATURES - 1)))
     y = np.array(y, dtype=float)
     drawn, true = np.array([(y == 0).sum(), y.sum()]), np.array([n0, n1], dtype=float)
     weight = np.where(y == 1, true[1] / max(drawn[1], 1), true[0] / max(drawn[0], 1)) * len(y) / true.sum()
-    models = fit_models(*both)
+    models = fitted(counted.sum(axis=0))
     models.weights = fit_logistic(np.concatenate(x), y, weight) if drawn.min() else np.array([np.log(n1 / n0)] + [0.0] * (FEATURES - 1))
     return models
 
