@@ -116,29 +116,19 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, *, key:
 
 
 def oracle_sql(notices: list[tuple[str, str]] | None = None, containment: float = 0.8) -> str:
-    """The same rows by an exact join of shingles: DuckDB SQL over the view documents."""
+    """The same rows by an exact join of shingles, without windows and bands: DuckDB SQL over the view documents."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({k}, {quoted(n)}, {quoted(t)})" for k, (n, t) in enumerate(notices or NOTICES))
-    classes = ", ".join(f"({k}, {a}, {b}, {w}, {s})" for k, (a, b, w, s) in enumerate(CLASSES))
     words = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-    shingles = f"list_transform(range(len(w) - {SHINGLE - 1}), lambda k: array_to_string(w[k + 1 : k + {SHINGLE}], ' '))"
+    shingles = f"list_distinct(list_transform(range(len(w) - {SHINGLE - 1}), lambda k: array_to_string(w[k + 1 : k + {SHINGLE}], ' ')))"
     return f"""
 WITH t0 AS (SELECT template, license, {words.format('body')} AS w FROM (VALUES {values}) v(template, license, body)),
 t1 AS (SELECT template, license, {shingles} AS s FROM t0 WHERE len(w) >= {SHINGLE}),
-t2 AS (SELECT template, license, s, CAST(ceil(len(s) / {PIECE}.0) AS INT) AS many FROM t1),
-t3 AS (SELECT template, license, s, CAST(ceil(len(s) / CAST(many AS DOUBLE)) AS INT) AS each, unnest(range(many)) AS piece FROM t2),
-t4 AS (SELECT template, license, piece, list_distinct(s[piece * each + 1 : piece * each + each]) AS s FROM t3),
-t5 AS (SELECT template, license, piece, s, len(s) AS size, sum(len(s)) OVER (PARTITION BY template) AS n FROM t4 WHERE len(s) > 0),
-cls(class, low, high, width, stride) AS (VALUES {classes}),
-pieces AS (SELECT t5.*, width, stride FROM t5 JOIN cls ON size BETWEEN low AND high),
-ps AS (SELECT template, license, piece, size, n, width, stride, unnest(s) AS sh FROM pieces),
-d0 AS (SELECT doc_id, row_number() OVER () AS r, {words.format('text')} AS w FROM documents WHERE text IS NOT NULL),
-d1 AS (SELECT doc_id, r, unnest({shingles}) AS sh, unnest(range(len(w) - {SHINGLE - 1})) AS k FROM d0 WHERE len(w) >= {SHINGLE}),
-hit AS (SELECT doc_id, r, k, ps.* FROM d1 JOIN ps USING (sh)),
-win AS (SELECT doc_id, r, template, license, piece, size, n, sh, unnest(range(CAST(ceil(greatest(k - width + 1, 0) / CAST(stride AS DOUBLE)) AS BIGINT), k // stride + 1)) AS j FROM hit),
-cnt AS (SELECT doc_id, r, template, license, piece, size, n, j, count(DISTINCT sh) AS hits FROM win GROUP BY doc_id, r, template, license, piece, size, n, j),
-best AS (SELECT doc_id, template, license, piece, n, max(hits) AS hits FROM cnt WHERE hits >= {containment} * size GROUP BY doc_id, template, license, piece, n),
-whole AS (SELECT doc_id, template, license, n, sum(hits) / CAST(n AS DOUBLE) AS containment FROM best GROUP BY doc_id, template, license, n HAVING sum(hits) / CAST(n AS DOUBLE) >= {containment}),
+t2 AS (SELECT template, license, len(s) AS n, unnest(s) AS sh FROM t1),
+d0 AS (SELECT doc_id, {words.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+d1 AS (SELECT doc_id, unnest({shingles}) AS sh FROM d0 WHERE len(w) >= {SHINGLE}),
+hits AS (SELECT doc_id, template, license, n, count(DISTINCT sh) AS hits FROM d1 JOIN t2 USING (sh) GROUP BY doc_id, template, license, n),
+whole AS (SELECT doc_id, license, n, hits / CAST(n AS DOUBLE) AS containment FROM hits WHERE hits / CAST(n AS DOUBLE) >= {containment}),
 top AS (SELECT doc_id, license, max(row(containment, CAST(n AS BIGINT))) AS x FROM whole GROUP BY doc_id, license)
 SELECT doc_id, license, x[1] AS containment, x[2] AS n_shingles FROM top
 """
