@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,50 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.plans.shipping import ship_package
+from brindle.sources import shared
 
 #: Rows in one Arrow batch: texts are long, and a batch stands in the memory of the JVM and of a Python worker.
 BATCH_ROWS = 1000
 
-_written: list[tuple[object, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a session on one machine that has none gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        sc = spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-checkpoints-"))
-        root = sc._jsc.sc().getCheckpointDir().get()
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below shared_root; it is removed when the driver's Python ends."""
-    path = f"{shared_root(spark)}/brindle-{tag}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a file or folder through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            remove_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
-
-
 #: Names of Hadoop's file systems that Arrow's file layer knows by another name.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
@@ -75,11 +33,8 @@ def file_system(path: str):
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = shared_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return shared.stored(df, tag)
 
 
 def small_batches(spark: SparkSession) -> None:

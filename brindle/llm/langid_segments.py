@@ -183,8 +183,9 @@ def fit_counts(counts: dict[str, Counter], pieces_path: str, *, rounds: int = 4)
     return Languages(names, pieces_path, table)
 
 
-def fit(docs: DataFrame, pieces_path: str, *, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 600) -> Languages:
-    """Learn from rows where `learn` holds (over columns k, l), about rows_per_language of each language, chosen by a hash of the key."""
+def fit(docs: DataFrame, pieces_path: str, *, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 600, sample_bytes: int = 32_000_000) -> Languages:
+    """Learn from rows where `learn` holds (over columns k, l), about rows_per_language of each language, chosen by a hash
+    of the key; fewer if their texts (rows with equal keys and texts count once) have more than sample_bytes."""
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & F.col("k").isNotNull()).where(learn)
     size = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not size:
@@ -192,7 +193,11 @@ def fit(docs: DataFrame, pieces_path: str, *, learn: Column, key: str = "doc_id"
     rate = F.create_map(*[F.lit(x) for k, n in sorted(size.items()) for x in (k, rows_per_language / n)])
     dice = F.pmod(F.xxhash64(F.lit("language"), "k"), F.lit(1_000_000)) / 1_000_000
     counts = {k: Counter() for k in sorted(size)}
-    for r in stored(rows.where(dice < rate[F.col("l")]).select("l", "t"), "sample").collect():
+    picked = stored(rows.where(dice < rate[F.col("l")]).distinct(), "sample")
+    total = picked.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    if total > sample_bytes:
+        picked = picked.where(F.pmod(F.xxhash64(F.lit("bytes"), "k", "t"), F.lit(1_000_000)) < int(1_000_000 * sample_bytes / total))
+    for r in picked.select("l", "t").toLocalIterator():
         counts[r["l"]].update(w for w in map(bare_word, text_words(r["t"] or "")) if w)
     return fit_counts({k: c for k, c in counts.items() if c}, pieces_path)
 

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import file_system, shared_path, slices, stored
+from brindle.llm.common import file_system, slices, stored
 from brindle.llm.tokens import encoder
+from brindle.sources.shared import shared_path
 
 #: Of the file format.
 MAGIC, FOOTER = b"BRTOKEN1", "<QQI4x"
