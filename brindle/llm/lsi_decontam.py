@@ -128,6 +128,23 @@ _TABLE = pa.schema([("piece", pa.int32()), ("part", pa.int32()), ("data", pa.bin
 _PIECES = 8
 
 
+class Sketch:
+    """A random matrix with `kept` entries of either sign for each term; columns of unit length."""
+
+    def __init__(self, size: int, width: int, kept: int = 2, seed: int = 11):
+        rng = np.random.default_rng(seed)
+        self.width = width
+        self.column = rng.integers(0, width, (size, kept))
+        self.value = rng.choice([-1.0, 1.0], (size, kept))
+        self.value /= np.maximum(np.sqrt((self.dense() ** 2).sum(axis=0)), 1e-9)[self.column]
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.column), self.width))
+        for k in range(self.column.shape[1]):
+            np.add.at(out, (np.arange(len(out)), self.column[:, k]), self.value[:, k])
+        return out
+
+
 class Space:
     """Sums of weighted term vectors of blocks and passages."""
 
@@ -140,12 +157,17 @@ class Space:
         keep = self.weights[numbers] > 0
         return rows[keep], numbers[keep], owner
 
-    def passages(self, vectors: np.ndarray, rows: np.ndarray, terms: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Passage k is the sum of blocks k, k+1, ... of its text. vectors: already weighted."""
-        one = np.zeros((len(owner), vectors.shape[1]), dtype=np.float32)
+    def sketched(self, basis: Sketch, rows: np.ndarray, terms: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The passages times the sketch: each word counts in the sketch's few columns of its term."""
+        one = np.zeros((len(owner), basis.width), dtype=np.float32)
         if len(rows):
-            kinds, first = np.unique(rows, return_index=True)
-            one[kinds] = np.add.reduceat(vectors[terms], first, axis=0)
+            at = (rows[:, None] * basis.width + basis.column[terms]).ravel()
+            value = (self.weights[terms][:, None] * basis.value[terms]).ravel()
+            one += np.bincount(at, value, minlength=one.size).reshape(one.shape)
+        return self._windows(one, owner)
+
+    def _windows(self, one: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Sums of blocks k, k+1, ... of a text."""
         out = one.copy()
         for step in range(1, self.s.blocks):
             if len(owner) > step:
@@ -153,6 +175,25 @@ class Space:
                 out[:-step] += one[step:] * same
         return out
 
+    def some_passages(self, vectors: np.ndarray, rows: np.ndarray, terms: np.ndarray, owner: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The passages that begin at the given blocks, and their norms: only their words' vectors are summed."""
+        wanted = np.zeros(len(owner), dtype=bool)
+        for step in range(self.s.blocks):
+            at = live[live + step < len(owner)]
+            wanted[at[owner[at + step] == owner[at]] + step] = True
+        number = np.cumsum(wanted) - 1  # of the blocks that take part
+        keep = wanted[rows]
+        sums = np.zeros((int(wanted.sum()) + 1, vectors.shape[1]), dtype=np.float32)
+        if keep.any():
+            kinds, first = np.unique(number[rows[keep]], return_index=True)
+            sums[kinds] = np.add.reduceat(vectors[terms[keep]], first, axis=0)
+        out = sums[number[live]] if len(live) else np.zeros((0, vectors.shape[1]), dtype=np.float32)
+        for step in range(1, self.s.blocks):
+            on = np.minimum(live + step, len(owner) - 1)
+            same = (live + step < len(owner)) & (owner[on] == owner[live])
+            out = out + sums[np.where(same, number[on], -1)] * same[:, None]
+        return out, np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-6)
+
     def back(self, p: np.ndarray, rows: np.ndarray, terms: np.ndarray, owner: np.ndarray, total: np.ndarray) -> None:
         """Adds transposed passages times p to total, but for the weights: each block takes part in the passages that
         begin at it or just before."""
@@ -178,12 +219,11 @@ def _product(shared, kind: str):
         from pyspark import TaskContext
 
         space, basis = shared.value
-        vectors = (space.weights[:, None] * basis).astype(np.float32)
-        total = np.zeros(basis.shape)
+        total = np.zeros((len(space.weights), basis.width))
         for batch in slices(batches, "terms", 200_000):  # so little that the gathered vectors stay in the cache
             numbers, n = _numbers(batch, kind)
             where = space.blocks_of(numbers, n)
-            space.back(space.passages(vectors, *where), *where, total)
+            space.back(space.sketched(basis, *where), *where, total)
         total *= space.weights[:, None]
         part = TaskContext.get().partitionId()
         for k, piece in enumerate(np.array_split(total, _PIECES)):
@@ -192,7 +232,7 @@ def _product(shared, kind: str):
     return run
 
 
-def gram_times(encoded: DataFrame, space: Space, basis: np.ndarray, kind: str) -> np.ndarray:
+def gram_times(encoded: DataFrame, space: Space, basis: Sketch, kind: str) -> np.ndarray:
     """(passages' transpose times passages) times basis over all documents, summed in two rounds."""
     schema = "piece int, part int, data binary"
     shared = encoded.sparkSession.sparkContext.broadcast((space, basis))
@@ -200,16 +240,15 @@ def gram_times(encoded: DataFrame, space: Space, basis: np.ndarray, kind: str) -
     some = parts.withColumn("part", F.floor(F.col("part") / 32).cast("int")).groupBy("piece", "part").applyInArrow(_sum_tables, schema)
     rows = some.withColumn("part", F.lit(0)).groupBy("piece", "part").applyInArrow(_sum_tables, schema).collect()  # a fixed number of rows
     got = {r["piece"]: np.frombuffer(zlib.decompress(r["data"]), "<f8") for r in rows}
-    return np.concatenate([got[k].reshape(len(x), -1) if k in got else x for k, x in enumerate(np.array_split(np.zeros_like(basis), _PIECES))])
+    return np.concatenate([got[k].reshape(len(x), -1) if k in got else x for k, x in enumerate(np.array_split(np.zeros((len(space.weights), basis.width)), _PIECES))])
 
 
 def singular_vectors(encoded: DataFrame, space: Space, kind: str) -> np.ndarray:
-    """Leading right singular vectors of the passages from one pass over them: a random sketch of their Gram matrix
+    """Leading right singular vectors of the passages from one pass over them: a sparse random sketch of their Gram matrix
     and its Nystroem approximation (Tropp, Yurtsever, Udell and Cevher, 2017)."""
     size = len(space.weights)
-    width = min(space.s.rank + space.s.extra, size)
-    start, _ = np.linalg.qr(np.random.default_rng(11).standard_normal((size, width)))
-    return leading_vectors(start, gram_times(encoded, space, start, kind), space.s.rank)
+    basis = Sketch(size, min(space.s.rank + space.s.extra, size))
+    return leading_vectors(basis.dense(), gram_times(encoded, space, basis, kind), space.s.rank)
 
 
 def leading_vectors(start: np.ndarray, sketch: np.ndarray, rank: int) -> np.ndarray:
@@ -265,6 +304,8 @@ class Queries:
     telling: Members  # part times size of the vocabulary plus telling term
     size: int  # of the vocabulary
     many: np.ndarray  # telling words of each part
+    group: np.ndarray  # term by group of parts: is it a telling word of one of them
+    need: np.ndarray  # of each group: the fewest telling words that one of its parts asks of a passage
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: keys of the runs of parts of common words, sorted; item and place of each
 
 
@@ -344,7 +385,17 @@ def make_queries(rows: list[tuple[int, str]], v: Vocabulary, space: Space, vecto
         runs = sorted(set(runs))
         listed[length] = tuple(np.array([r[k] for r in runs], dtype=t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
     number = lambda x: np.array(x, dtype=np.int64)
-    return Queries(items, number(owner), number(offset), np.array(latent, dtype=np.float32).reshape(len(latent), vectors.shape[1]), Members(np.concatenate(telling) if telling else number([])), v.size, number(many), listed)
+    groups = -(-min(512, max(64, len(owner))) // 8) * 8
+    group, need = np.zeros((v.size, groups), dtype=np.uint8), np.full(groups, 255, dtype=np.uint8)
+    for part, terms in enumerate(telling):
+        group[terms - part * v.size, part % groups] = 1
+        need[part % groups] = min(need[part % groups], _asked(s, many[part]))
+    return Queries(items, number(owner), number(offset), np.array(latent, dtype=np.float32).reshape(len(latent), vectors.shape[1]), Members(np.concatenate(telling) if telling else number([])), v.size, number(many), group, need, listed)
+
+
+def _asked(s: Settings, many: np.ndarray | int) -> np.ndarray:
+    """How many of a part's telling words a passage must hold."""
+    return np.maximum(1, np.ceil(s.overlap * np.asarray(many) - 1e-9))
 
 
 def common_length(item: Item, right: list[int]) -> int:
@@ -387,27 +438,32 @@ def _candidates(numbers: np.ndarray, n: np.ndarray, q: Queries, space: Space, ve
     s = space.s
     rows, terms, owner = space.blocks_of(numbers, n)
     first_block, first_word = np.cumsum(-(-n // s.block)) - -(-n // s.block), np.cumsum(n) - n
+    if s.block * s.blocks > 255:
+        raise ValueError("a passage has at most 255 words")
     padded = np.concatenate([padded_blocks(numbers, n, s.block), np.zeros((s.blocks, s.block), dtype=np.int32)])
-    weights = np.bincount(rows, minlength=len(owner) + s.blocks)  # telling words of each block
     last = np.concatenate([owner, np.full(s.blocks, -1)])
-    held = weights[: len(owner)].copy()
+    # the words that a passage shares with any part of a group bound what it shares with one of them; a sum of 64 bits
+    # counts for eight groups, as no count reaches 256
+    groups = q.group.view(np.uint64)
+    held = np.zeros((len(owner) + s.blocks, groups.shape[1]), dtype=np.uint64)
+    if len(rows):
+        kinds, first = np.unique(rows, return_index=True)
+        held[kinds] = np.add.reduceat(groups[terms], first, axis=0)
+    shared = held[: len(owner)].copy()
     for step in range(1, s.blocks):
-        held += weights[step : step + len(owner)] * (last[step : step + len(owner)] == owner)
-    passages = space.passages(vectors, rows, terms, owner)
-    norm = np.sqrt(np.einsum("ij,ij->i", passages, passages))
-    # a passage with fewer telling words than any part asks for can't pass the comparison below
-    least = int(np.ceil(s.overlap * q.many.min())) if len(q.many) else 1
-    live = np.flatnonzero((norm > 1e-6) & (held >= max(1, least)))
+        shared += held[step : step + len(owner)] * (last[step : step + len(owner)] == owner)[:, None].astype(np.uint64)
+    live = np.flatnonzero((shared.view(np.uint8) >= q.need).any(axis=1))
+    passages, norm = space.some_passages(vectors, rows, terms, owner, live)
     for at in range(0, len(live), 4096):
         some = live[at : at + 4096]
-        dots = passages[some] @ q.latent.T
-        flat = np.flatnonzero(dots > s.cosine * norm[some][:, None])
+        dots = passages[at : at + 4096] @ q.latent.T
+        flat = np.flatnonzero(dots > s.cosine * norm[at : at + 4096][:, None])
         if not len(flat):
             continue
         p, part = np.divmod(flat, dots.shape[1])
         block = some[p]
-        value = dots.ravel()[flat] / norm[block]
-        enough = np.maximum(1, s.overlap * q.many[part])
+        value = dots.ravel()[flat] / norm[at + p]
+        enough = _asked(s, q.many[part])
         quick = np.flatnonzero(_shared(q.telling.maybe, padded, block, part * q.size, last, s.blocks) >= enough)
         p, part, block, value, enough = p[quick], part[quick], block[quick], value[quick], enough[quick]
         for k in np.flatnonzero(_shared(q.telling.has, padded, block, part * q.size, last, s.blocks) >= enough).tolist():
