@@ -1,4 +1,4 @@
-"""Training-corpus preparation: splits, samples, mixes, statistics, augmentation, chat rows."""
+"""Training-corpus preparation: splits, samples, mixes, statistics, augmentation, chat rows."""
 
 from __future__ import annotations
 
