@@ -66,7 +66,7 @@ def release_memory() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int = 2_000_000, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int = 500_000, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about most_bytes of text; one row may exceed it, never a prefix of it."""
     release_memory()
     for batch in batches:

@@ -21,6 +21,9 @@ _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: White space that isn't ASCII, and what only some libraries take for white space: such texts go to the library whole.
 _RARE_SPACES = [c.encode() for c in "\x1c\x1d\x1e\x1f\x85\xa0 ᠎               　"]
+#: The bytes that those begin with.
+_SUSPECT = np.zeros(256, dtype=bool)
+_SUSPECT[[s[0] for s in _RARE_SPACES]] = True
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -167,7 +170,9 @@ class ChunkEncoder:
             size = size * texts.is_valid().to_numpy(zero_copy_only=False)
         strange = np.zeros(len(texts), dtype=bool)
         raw = data.tobytes()
-        rare = [s for s in (self.added if self.drops else self.added + _RARE_SPACES) if s in raw]
+        rare = [s for s in self.added if s in raw]
+        if not self.drops and _SUSPECT[data].any():
+            rare += [s for s in _RARE_SPACES if s in raw]
         if rare:
             strange = np.array([any(s in raw[a : a + n] for s in rare) for a, n in zip(offsets[:-1].tolist(), size.tolist(), strict=True)], dtype=bool)
         usual = np.flatnonzero((size > 0) & ~strange)
