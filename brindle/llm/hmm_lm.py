@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ class Settings:
     states: int = 16
     own_growth: float = 20.0
     classes: int = 500
-    known_words: int = 400_000
+    known_words: int = 1_000_000
     passes: int = 2
     first_rows: int = 1200
     first_tokens: int = 400_000
@@ -53,6 +54,24 @@ def word_class(word: bytes, classes: int) -> int:
     return zlib.crc32(word[-2:]) % classes
 
 
+@cache
+def _class_table(classes: int) -> np.ndarray:
+    """The class of a word by its last two bytes as one number; of a word of one byte, that byte after 65536."""
+    both = [zlib.crc32(bytes([a, b])) % classes for a in range(256) for b in range(256)]
+    return np.array(both + [zlib.crc32(bytes([b])) % classes for b in range(256)], dtype=np.int64)
+
+
+def word_classes(words: list[bytes], classes: int) -> np.ndarray:
+    """word_class of many words that aren't empty."""
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    data = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+    ends = np.cumsum(size)
+    last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+    return _class_table(classes)[np.where(size > 1, before * 256 + last, 65536 + last)]
+
+
 # -- counts -------------------------------------------------------------------------------------------------
 
 
@@ -108,7 +127,7 @@ class Vocabulary:
 
     def table(self) -> np.ndarray:
         """Columns for each known word: symbol, base score, share score (0 for a symbol of its own)."""
-        classes = np.fromiter((word_class(w, self.settings.classes) for w in self.known), dtype=np.int64, count=len(self.known))
+        classes = word_classes(list(self.known), self.settings.classes)
         own = self.own >= 0
         return np.stack([np.where(own, self.own, self.n_own + classes), self.base(self.counts), np.where(own, 0.0, self.share(self.counts, classes))], axis=1)
 
@@ -164,7 +183,7 @@ def _encode(shared):
             got = table[at] * seen[:, None] if len(table) else np.zeros((len(at), 3))
             rare = np.flatnonzero(~seen)  # counted by the join
             rare_words = [flat[k] for k in rare.tolist()]
-            got[rare, 0] = v.n_own + np.fromiter((word_class(w, classes) for w in rare_words), dtype=np.int64, count=len(rare))
+            got[rare, 0] = v.n_own + word_classes(rare_words, classes)
             ends = np.cumsum(n)
             symbols = got[:, 0].astype(v.kind)
             sums = grouped_sum(np.concatenate([got[:, 1:], seen[:, None]], axis=1), n)

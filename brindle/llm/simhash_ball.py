@@ -146,8 +146,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def written(docs: DataFrame) -> DataFrame:
     """docs, if it is no more than a table of Parquet files, else such a table with its rows: each row has a place then."""
-    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
-    return docs if plan == "LogicalRelation" and docs.inputFiles() and all(f.endswith(".parquet") for f in docs.inputFiles()) else stored(docs, "documents")
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().fileFormat().toString() == "Parquet":
+        return docs
+    return stored(docs, "documents")
 
 
 def places(docs: DataFrame) -> list[Column]:

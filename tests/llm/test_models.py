@@ -282,6 +282,12 @@ def test_long_texts_are_trained_on_whole():
         assert getattr(spans, name) == pytest.approx(getattr(whole, name), rel=1e-3)
 
 
+def test_word_classes():
+    words = [b"a", b"ab", b"xab", "é".encode(), b" ", b"\xff\xfe"]
+    assert hmm_lm.word_classes(words, 7).tolist() == [hmm_lm.word_class(w, 7) for w in words]
+    assert hmm_lm.word_classes([], 7).tolist() == []
+
+
 def test_language_model(spark):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").unionByName(odd_rows(spark).select("doc_id", "text"))
     small = hmm_lm.Settings(known_words=200, own_growth=1.0, classes=20, first_rows=100, flush=1000)
