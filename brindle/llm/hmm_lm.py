@@ -283,10 +283,9 @@ def expected_counts(m: Model, texts: list[np.ndarray], total: Counts, *, span: i
         alpha, scale, b = held or _forward_span(side, begin, end, a, start, move, emit)
         held = None
         base = side.first[begin]
-        gamma = np.empty_like(alpha)
         for t in range(end - 1, begin - 1, -1):
             at, k = side.first[t] - base, side.active[t]
-            np.multiply(alpha[at : at + k], beta[:k], out=gamma[at : at + k])
+            alpha[at : at + k] *= beta[:k]  # from here on the states' probabilities; the times before are still alpha
             if t:
                 right = beta[:k] * b[at : at + k] / scale[at : at + k]
                 left = a[:k] if t == begin else alpha[side.first[t - 1] - base :][:k]
@@ -295,13 +294,13 @@ def expected_counts(m: Model, texts: list[np.ndarray], total: Counts, *, span: i
         flat = side.symbols[base : side.first[end]]
         order = np.argsort(flat, kind="stable")
         kinds, first = np.unique(flat[order], return_index=True)
-        total.emit[kinds] += np.add.reduceat(gamma[order], first, axis=0)
+        total.emit[kinds] += np.add.reduceat(alpha[order], first, axis=0)
         if not begin:
-            total.start += gamma[: side.active[0]].sum(axis=0)
+            total.start += alpha[: side.active[0]].sum(axis=0)
     total.move += moves * m.move
 
 
-def _batches_of_texts(texts: Iterator[np.ndarray], most: int = 150_000, hold: int = 1_000_000) -> Iterator[list[np.ndarray]]:
+def _batches_of_texts(texts: Iterator[np.ndarray], most: int = 250_000, hold: int = 2_000_000) -> Iterator[list[np.ndarray]]:
     """Whole texts, those of like lengths together."""
 
     def dealt(held: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
