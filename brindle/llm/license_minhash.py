@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SHINGLE, PIECE, BANDS = 5, 16, 32
 #: Windows by the number of shingles of a piece: (from, to, width, stride).
