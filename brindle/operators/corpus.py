@@ -80,9 +80,9 @@ def replay_sample(rows: DataFrame, *, new_rows: int, ratio: float = 0.3, family:
     from brindle.operators.similarity import checkpointed, join_by
 
     wanted = int(new_rows * ratio / (1 - ratio) + 0.5)
-    order = order_key(F.col(key), seed)
+    order = F.coalesce(order_key(F.col(key), seed), F.lit("0" * 64))  # a null key comes first
     place = F.conv(F.left(order, F.lit(8)), 16, 10).cast("double") / 2.0**32
-    ordered = checkpointed(rows.select(F.struct(family).alias("__f"), order.alias("__o"), place.alias("__u"), F.col(key).alias("__key")))
+    ordered = checkpointed(rows.select(F.struct(family).alias("__f"), order.alias("__o"), place.alias("__u"), F.struct(key).alias("__key")))
     sizes = checkpointed(ordered.groupBy("__f").agg(F.count(F.lit(1)).alias("__n")))
     families = sizes.count()
     if not wanted or not families:
@@ -100,9 +100,9 @@ def replay_sample(rows: DataFrame, *, new_rows: int, ratio: float = 0.3, family:
     late = F.col("__r") > even
     chosen = ranked.orderBy(late.cast("int"), F.when(late, F.col("__o")), "__f", "__r").limit(wanted)
     # a sample of the size that was asked for; a repeated key gives as many rows as were chosen of it
-    numbered = rows.withColumn("__key", F.col(key)).withColumn("__f", F.struct(family))
+    numbered = rows.withColumn("__key", F.struct(key)).withColumn("__f", F.struct(family))
     picks = chosen.groupBy("__f", "__key").agg(F.count(F.lit(1)).alias("__c"))
-    met = numbered.join(F.broadcast(picks), ["__f", "__key"])
+    met = numbered.join(F.broadcast(picks) if wanted <= 200_000 else picks, ["__f", "__key"])
     w = Window.partitionBy("__f", "__key").orderBy(F.lit(1))
     return met.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= F.col("__c")).drop("__f", "__key", "__c", "__i")
 

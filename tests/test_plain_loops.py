@@ -211,6 +211,14 @@ def test_replay_widens_its_bound(spark):
     assert counts["hot"] == 100 + top.count("hot") and counts["mid"] == 100 + top.count("mid")
 
 
+def test_replay_of_null_keys_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(None, "a", 1), (1, "a", 1), (1, "a", 2), (2, None, 1), (3, None, 1)], "doc_id long, source string, x int")
+    got = corpus.replay_sample(rows, new_rows=12)
+    assert got.columns == rows.columns and got.count() == 5 and got.exceptAll(rows).isEmpty()
+    assert corpus.replay_sample(rows, new_rows=2).count() == 1
+    assert corpus.replay_sample(rows.limit(0), new_rows=10).count() == 0
+
+
 def test_xml_against_a_schema(spark, tmp_path):
     from brindle.operators import validate
 
