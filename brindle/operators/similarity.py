@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,17 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import fingerprint, jaccard, normalize_text, token_set
+from brindle.sources.shared import stored
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; a temporary one is set only where there is none."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="brindle-"))
-    return df.checkpoint()
+    """Cut the lineage: written once to the shared folder and read again (a checkpoint would compute it twice)."""
+    return stored(df, "table")
 
 
 def join_by(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, share: int = 1000) -> DataFrame:
