@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.nested import let
 from brindle.functions.text import edit_similarity, fold_confusables, normalize_identifier, normalize_text
 
 #: The last part of paths whose values must stand in the text as they are.
@@ -30,10 +31,16 @@ def fuzzy_evidence(claims: DataFrame, *, value: str = "value", text: str = "text
     """J11 beside each claim: evidence_score, the share of the value's words that the text has, exactly or with an edit
     similarity of 0.8 or more after folding confusable characters; evidence_status. A value without words scores 0."""
     def matched(own: Column, there: Column) -> Column:
-        exact = F.size(F.array_intersect(own, there))
-        folded = F.array_distinct(F.transform(there, fold_confusables))
-        close = lambda w: F.exists(folded, lambda t: (F.abs(F.length(t) - F.length(fold_confusables(w))) <= 0.2 * F.greatest(F.length(t), F.length(w)) + 1) & (edit_similarity(fold_confusables(w), t) >= SIMILAR))
-        return (exact + F.size(F.filter(F.array_except(own, there), close))) / F.size(own)
+        # each word is folded once, whatever it is compared with
+        folded = lambda words: F.transform(words, lambda w: F.struct(w.alias("word"), fold_confusables(w).alias("folded")))
+        rest, texts = folded(F.array_except(own, there)), F.array_distinct(F.transform(there, fold_confusables))
+
+        def close(w: Column, t: Column) -> Column:
+            near = F.abs(F.length(t) - F.length(w["folded"])) <= 0.2 * F.greatest(F.length(t), F.length(w["word"])) + 1
+            return near & (edit_similarity(w["folded"], t) >= SIMILAR)
+
+        found = let(texts, lambda there: F.size(F.filter(rest, lambda w: F.exists(there, lambda t: close(w, t)))))
+        return (F.size(F.array_intersect(own, there)) + found) / F.size(own)
 
     own, there = _words(F.col(value)), _words(F.col(text))
     score = F.when(F.size(own) == 0, F.lit(0.0)).otherwise(matched(own, there))
