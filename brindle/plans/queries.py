@@ -14,6 +14,7 @@ from brindle.plans import documents
 from brindle.plans.schemas import INSTRUCTION
 from brindle.plans.shipping import ship_package
 from brindle.sources import generators
+from brindle.sources.shared import read_texts
 from brindle.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,8 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_texts(spark, path) if name in ("documents", "pages") else spark.read.parquet(path)
 
 
 # SQL of the text rules, as DuckDB writes them

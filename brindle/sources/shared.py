@@ -65,3 +65,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = shared_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of texts. One that Spark reads in fewer partitions than there are cores (a small one, in few row
+    groups) is dealt to all cores; a larger one stays as it is read."""
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
