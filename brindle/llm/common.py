@@ -45,9 +45,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, *, dealt: bool = True) -> DataFrame:
+    """A table of the folder; documents and pages in as many partitions as there are cores at least, unless not `dealt`."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return shared.read_texts(spark, path) if dealt and name in ("documents", "pages") else spark.read.parquet(path)
 
 
 def fold(column: str, modulus: int):

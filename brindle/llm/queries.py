@@ -32,7 +32,7 @@ def op3_lsi_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_minhash.scan(read_table(spark, sf_dir, "documents"))
+    return license_minhash.scan(read_table(spark, sf_dir, "documents", dealt=False))
 
 
 def op5_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
