@@ -48,6 +48,8 @@ ARTICLE_PARTS = HEADINGS | frozenset("li dt dd".split())
 #: Words of class and id that hint at something else than the article: alone, and as a part of a compound.
 WHOLE = frozenset("side widget top bottom alert respond replies reply recommendations subscription subscribe side-nav pager login popup".split())
 PARTS = frozenset("ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer comment comments disqus cookie cookies consent gdpr notice notices modal overlay newsletter signup share sharing social related recommended toolbar pagination".split())
+#: Of these, what never is a page's layout.
+SECTIONS = frozenset("ad ads advert adverts advertisement advertisements adsense sponsor sponsored comment comments disqus cookie cookies consent gdpr newsletter related recommended".split())
 #: With one of these a compound speaks of the page's layout.
 NEGATIONS = frozenset("no not non without with has have is free enabled disabled open closed on off".split())
 #: With one of these a header is the article's own.
@@ -81,7 +83,8 @@ class _Element:
 
 
 def name_hint(words: str) -> tuple[bool, bool, bool]:
-    """Of a class or an id: does a whole word of it hint, a part of a compound, and is it a header of an article."""
+    """Of a class or an id: does a whole word of it hint (or a part that is no layout), a part of a compound, and is it a
+    header of an article."""
     whole = part = header = False
     for word in words.split():
         if word in WHOLE or word in PARTS:
@@ -94,7 +97,7 @@ def name_hint(words: str) -> tuple[bool, bool, bool]:
         if named <= {"header", "masthead", "banner"} and named and not ARTICLE_WORDS.isdisjoint(parts):
             header = True
         elif named:
-            part = True
+            whole, part = whole or not SECTIONS.isdisjoint(named), True
     return whole, part, header
 
 
@@ -328,7 +331,7 @@ def _find_wrappers(page: _Page) -> None:
             continue
         share = (until[h.last] - until[h.first]) / whole
         leads = any(h.first <= x.first and x.last <= h.last and x.first < x.last for x in page.leading)
-        h.wrapper = share >= (0.95 if h.strong else 0.8) or (share >= 0.3 and leads)
+        h.wrapper = share >= (1 if h.strong else 0.8) or (share >= 0.3 and leads)
 
 
 def _is_plain(e: _Element) -> bool:

@@ -64,6 +64,9 @@ def test_wrappers_of_the_article(wrapper):
         (f"<body><div>{BODY}<div><a href=/1>More stories</a> <a href=/2>Contact</a></div></div></body>", BODY_TEXT),
         (f"<body><div>{BODY}</div><section id=comments>{f'<p>A comment, that is longer than all: {LONG}</p>' * 4}</section></body>", BODY_TEXT),
         (f"<body><div>{BODY}</div><div class='comment-list'>{f'<p>A comment, that is as long: {LONG}</p>' * 2}</div></body>", BODY_TEXT),
+        (f"<body><div class=ad>{LONG * 5}</div><p>Short, but real.</p></body>", "Short, but real."),
+        (f"<body><div><p>Short, but real.</p></div><div class='comment-list'><p>{LONG * 9}</p></div></body>", "Short, but real."),
+        (f"<body><div class='right-sidebar'><p>{LONG * 9}</p></div><div>More.</div></body>", f"{LONG * 9}"),
         (f"<body><div>{BODY}<p>See <a href=/x>this, please</a>, and <a href=/y>that</a>.</p></div></body>", BODY_TEXT + " See this, please, and that."),
         (f"<body><div>{BODY}<div class='cookie-consent'><p>We, too, use cookies.</p></div></div></body>", BODY_TEXT),
         (f"<body><p>{LONG}</p><p>An <span class=share>Share it, now.</span> end.</p></body>", f"{LONG}An end."),
