@@ -100,7 +100,9 @@ def links(distinct: DataFrame, *, radius: int = 2) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even: two balls of half of it must meet")
     masks = F.array(*[F.lit(m) for m in ball_masks(radius // 2)])
-    met = distinct.select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
+    # fingerprints are small and their balls are not: dealt to as many tasks as a shuffle has, however few files hold them
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    met = dealt.select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
     group = met.groupBy("variant").agg(F.collect_set("fp").alias("members"))  # one ball at most
     pairs = group.where(F.size("members") > 1).select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
     near = pairs.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
