@@ -103,10 +103,11 @@ def links(distinct: DataFrame, *, radius: int = 2) -> DataFrame:
     # fingerprints are small and their balls are not: dealt to as many tasks as a shuffle has, however few files hold them
     dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     met = dealt.select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
-    ends = met.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # of three and more, those between the smallest and the largest are met again; such groups are few
-    several = met.join(ends.where("n > 2").select("variant", "a"), "variant").select("a", F.col("fp").alias("b"))
-    pairs = ends.select("a", "b").union(several)
+    ends = met.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n"))
+    ends = stored(ends.where("n > 1"), "met")
+    # of three and more, those between the smallest and the largest are the fingerprints in the variant's own ball
+    wide = ends.where("n > 2").select("a", "variant", F.explode(masks).alias("mask")).select("a", F.col("variant").bitwiseXOR(F.col("mask")).alias("fp"))
+    pairs = ends.select("a", "b").union(wide.join(distinct, "fp").select("a", F.col("fp").alias("b")))
     near = pairs.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return near.distinct()
 
