@@ -271,9 +271,9 @@ def decisions(spark, sf_dir):
     """F02, F13, F20, M03, M08, M09."""
     k = F.col("s_suppkey")
     found = validate.findings(validate.country_finding(choose(k, "tr", "TR", "T"), "a"), validate.unlocode_finding(choose(k, "TRIZ1", "TRIZM", "DEHAM"), "b"))
-    few = table(spark, sf_dir, "supplier").where("s_suppkey <= 50").select(k.alias("id"), choose(k, "a.PDF", "b.exe", "c.xml").alias("name"), choose(k, F.lit(5), F.lit(5), F.lit(0)).cast("long").alias("size"))
+    few = table(spark, sf_dir, "supplier").where("s_suppkey < 50").select(k.alias("id"), choose(k, "a.PDF", "b.exe", "c.xml").alias("name"), choose(k, F.lit(5), F.lit(5), F.lit(0)).cast("long").alias("size"))
     admitted = validate.admit_batch(few)
-    rest = table(spark, sf_dir, "supplier").where("s_suppkey > 50").select(k.alias("id"), choose(k, F.lit(None).cast("string"), "extension", "empty").alias("reason"), choose(k, "QUEUED", "REJECTED", "REJECTED").alias("status"))
+    rest = table(spark, sf_dir, "supplier").where("s_suppkey >= 50").select(k.alias("id"), choose(k, F.lit(None).cast("string"), "extension", "empty").alias("reason"), choose(k, "QUEUED", "REJECTED", "REJECTED").alias("status"))
     rows = admitted.select("id", "status", "reason").unionByName(rest).withColumn("s_suppkey", F.col("id"))
     return rows.select(
         "id", validate.needs_review(choose(k, "risk", "off", "risk"), choose(k, F.lit(40), F.lit(90), F.lit(10)), F.lit(True)).alias("review"), validate.better(choose(k, F.lit(40), F.lit(20)), choose(k, F.lit(10), F.lit(10))).alias("better"),
