@@ -60,8 +60,7 @@ def op8_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # 2 kHz: the stored PCM is about as large as the text; at 16 kHz it would be eight times that
-    stored = telephony.store_texts(read_table(spark, sf_dir, "documents"), block=192, codec="mulaw", rate=2000)
+    stored = telephony.store_texts(read_table(spark, sf_dir, "documents"), block=192, codec="mulaw", rate=16000)
     return telephony.digest(stored, block=192).withColumnRenamed("key", "doc_id")
 
 

@@ -398,6 +398,17 @@ def test_media_query_by_plain_rules(spark):
         assert (own["n_bytes"], own["payload_bytes"], own["payload_sha256"], own["tail_crc32"], own["media_bytes"], own["media_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
 
 
+def test_media_query_resamples_to_16_khz(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["feature"] for r in op9_telephony(spark, sf).collect()}
+    for r in read_table(spark, sf, "documents").limit(40).collect():
+        raw = (r["text"] or "").encode()
+        codes = np.frombuffer(raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw)), np.uint8)
+        pcm = telephony.resample(telephony.mulaw_table()[codes], 2, 1)
+        assert len(pcm) == 2 * len(codes)
+        assert f"crc32={zlib.crc32(pcm.astype('<i2').tobytes()):08x};" in got[r["doc_id"]]
+
+
 # -- decontamination ----------------------------------------------------------------------------------------
 
 
