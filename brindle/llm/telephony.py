@@ -3,8 +3,8 @@
 Codes of 8 bits are stored losslessly in a RIFF/WAVE container (mu-law, A-law or IMA ADPCM blocks) in a binary
 column. Decoding expands mu-law and A-law through lookup tables of 256 entries that a rule builds, and decodes
 ADPCM with numpy across blocks: one step handles the same sample of every block of a batch. The PCM is resampled
-by a polyphase windowed-sinc filter in integers, so results are the same on every machine, and stored as a PCM column
-beside the media (`store_texts`) or made from any media column (`decode_media`).
+by a polyphase windowed-sinc filter in integers, so results are the same on every machine, and stored losslessly packed
+(`pack_pcm`) beside the media (`store_texts`) or made from any media column (`decode_media`).
 
 Defined results: null media and media that are no WAVE file of a known format decode to null; an empty payload, and
 an ADPCM payload without a whole block, give an empty PCM; a text's payload is its UTF-8
@@ -155,6 +155,35 @@ def at_rate(pcm: np.ndarray, own: int, rate: int) -> bytes:
     return (resample(pcm, rate // g, own // g) if own != rate else pcm).astype("<i2").tobytes()
 
 
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    """What the twofold resampling filter expects at the n odd samples between the even ones."""
+    return resample(even, 2, 1)[1 : 2 * n : 2]
+
+
+def pack_pcm(pcm: bytes) -> bytes:
+    """16-bit samples in a lossless form that stands alone: their number, the even samples (one byte each if mu-law has
+    them all), and the odd ones as differences from the filter's value between the even ones, left out if all are zero."""
+    x = np.frombuffer(pcm, "<i2")
+    even, odd = x[::2], x[1::2]
+    table = mulaw_table()
+    order = np.argsort(table, kind="stable")
+    at = order[np.minimum(np.searchsorted(table[order], even), 255)]
+    told = bool((table[at] == even).all())
+    rest = odd - _between(even, len(odd))  # modulo 2^16
+    return struct.pack("<IB", len(x), told | bool(rest.any()) << 1) + (at.astype(np.uint8) if told else even).tobytes() + (rest.astype("<i2").tobytes() if rest.any() else b"")
+
+
+def unpack_pcm(packed: bytes) -> bytes:
+    """The samples that `pack_pcm` got."""
+    n, form = struct.unpack_from("<IB", packed)
+    out, half = np.empty(n, dtype="<i2"), (n + 1) // 2
+    out[::2] = mulaw_table()[np.frombuffer(packed, np.uint8, half, 5)] if form & 1 else np.frombuffer(packed, "<i2", half, 5)
+    out[1::2] = _between(out[::2], n // 2)
+    if form & 2:
+        out[1::2] += np.frombuffer(packed, "<i2", n // 2, 5 + half * (1 if form & 1 else 2))
+    return out.tobytes()
+
+
 def to_pcm(media: bytes | None, rate: int) -> bytes | None:
     if media is None:
         return None
@@ -184,15 +213,15 @@ def _store(block: int, codec: str, rate: int):
         for batch in slices(batches, "text", 1_000_000):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             media = [container(r + b" " * (max(block, -(-len(r) // block) * block) - len(r)), codec, block=block) for r in raw]
-            pcm = [to_pcm(m, rate) for m in media]
+            pcm = [pack_pcm(to_pcm(m, rate)) for m in media]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(list(map(len, raw)), type=pa.int64()), pa.array(media, type=pa.binary()), pa.array(pcm, type=pa.binary())], names=["key", "n_bytes", "media", "pcm"])
 
     return run
 
 
 def store_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = 192, codec: str = "mulaw", rate: int = 16000) -> DataFrame:
-    """Texts as telephony payloads in a media column, and their sound as 16-bit PCM of `rate`, written to the shared
-    folder and read again."""
+    """Texts as telephony payloads in a media column, and their sound as 16-bit PCM of `rate`, losslessly packed, written
+    to the shared folder and read again."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return stored(rows.mapInArrow(_store(block, codec, rate), "key long, n_bytes long, media binary, pcm binary"), "media")
 
@@ -218,7 +247,7 @@ def _digest(block: int):
             sizes = np.array(list(map(len, payloads)), dtype=np.int64)
             edges = np.concatenate([[0], np.cumsum(sizes)])
             codes = np.frombuffer(b"".join(payloads), np.uint8)
-            pcm = batch.column("pcm").to_pylist()
+            pcm = [unpack_pcm(x) for x in batch.column("pcm").to_pylist()]
             samples = np.concatenate([[0], np.cumsum([len(x) // 2 for x in pcm])])
             per = 1 + 2 * (block - 4)
             adpcm = decode_adpcm(codes.reshape(-1, block)).ravel()

@@ -409,6 +409,20 @@ def test_media_query_resamples_to_16_khz(spark):
         assert f"crc32={zlib.crc32(pcm.astype('<i2').tobytes()):08x};" in got[r["doc_id"]]
 
 
+def test_sound_is_stored_whole_and_small(spark):
+    draw = np.random.default_rng(3)
+    codes = draw.integers(0, 256, 960).astype(np.uint8)
+    own = telephony.at_rate(telephony.mulaw_table()[codes], 8000, 16000)
+    others = [b"", b"\1\2", draw.integers(-32768, 32768, 501).astype("<i2").tobytes(), draw.integers(-32768, 32768, 64).astype("<i2").tobytes(), np.full(9, -32768, "<i2").tobytes()]
+    for pcm in (own, own[:-2], own[2:], *others):
+        assert telephony.unpack_pcm(telephony.pack_pcm(pcm)) == pcm
+    docs = spark.createDataFrame([(k, f"text {k} " * 300) for k in range(5)], "doc_id long, text string")
+    for r in telephony.store_texts(docs).collect():
+        pcm = telephony.to_pcm(bytes(r["media"]), 16000)
+        assert telephony.unpack_pcm(bytes(r["pcm"])) == pcm
+        assert len(r["pcm"]) <= len(pcm) // 4 + 5
+
+
 # -- decontamination ----------------------------------------------------------------------------------------
 
 
